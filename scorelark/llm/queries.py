@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelark.llm import bpe
+from scorelark.llm import bpe, sharding, vafile
 from scorelark.llm.common import table
 
 
+def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_ranks(), bpe.default_pattern(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {
+    "op1_bounded_ring": op1_bounded_ring,
+    "op2_va_file": op2_va_file,
     "op3_byte_bpe": op3_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_va_file": OP2_SQL,
+}
