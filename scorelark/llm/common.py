@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,5 +50,14 @@ def drop(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+class Stretches:
+    """Intervals by their start, with the furthest end up to each: whether any meets a stretch takes one search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelark.llm import bpe, sharding, vafile
+from scorelark.llm import bpe, jaccard, leaks, privacy, secrets, sharding, vafile
 from scorelark.llm.common import table
 
 
@@ -37,10 +37,30 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_ranks(), bpe.default_pattern(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_va_file": op2_va_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_decontamination": op7_decontamination,
+    "op9_disclosure": op9_disclosure,
+    "op10_credentials": op10_credentials,
 }
 ORACLES = {
     "op2_va_file": OP2_SQL,
