@@ -233,18 +233,18 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         extra = extra.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "extra": "__extra"})
         ready = keyed.join(extra, ["__k1", "__k2"], "left")
     ready = ready.select(*docs.columns, "__extra")
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = []
-                for text, more in zip(part.column(at).to_pylist(), part.column(len(docs.columns)).to_pylist(), strict=True):
+                for text, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
                     spans = [] if text is None else [(a, b, kind) for kind, a, b in base_spans(text)] + [(x["start"], x["end"], x["kind"]) for x in more or []]
                     texts.append(rewrite(text, spans) if spans else text)
-                columns = list(part.columns[: len(docs.columns)])
+                columns = list(part.columns[: len(names)])
                 columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return ready.mapInArrow(run, docs.schema)
