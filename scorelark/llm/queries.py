@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelark.llm import bpe, jaccard, leaks, privacy, secrets, sharding, vafile
+from scorelark.llm import bpe, jaccard, leaks, licenses, privacy, secrets, sharding, vafile
 from scorelark.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_ranks(), bpe.default_pattern(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_license_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_va_file": op2_va_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_license_votes": op5_license_votes,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
     "op9_disclosure": op9_disclosure,
@@ -64,4 +69,5 @@ QUERIES = {
 }
 ORACLES = {
     "op2_va_file": OP2_SQL,
+    "op5_license_votes": licenses.oracle(),
 }
