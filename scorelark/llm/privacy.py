@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ BESIDE_WORDS, BESIDE_CHARS = 6, 160
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Bits of the bitmap of candidate terms.
 BITMAP_BITS = 1 << 22
+#: Terms that a task counts before it hands them on.
+TERMS_HELD = 1 << 17
 
 EMAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -167,17 +170,22 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, crc, mask = sent.value, zlib.crc32, BITMAP_BITS - 1
+        counts: Counter[bytes] = Counter()
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            out = []
             for data in batch.column(0).to_pylist():
-                for word in set(data.translate(FOLD).split()):
-                    s = crc(word) & mask
-                    if bits[s >> 3] >> (s & 7) & 1:
-                        out.append(word)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["term"])
+                counts.update(word for word in set(data.translate(FOLD).split()) if bits[(s := crc(word) & mask) >> 3] >> (s & 7) & 1)
+            if len(counts) > TERMS_HELD:
+                yield handed()
+        yield handed()
 
     texts = docs.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("data"))
-    by_term = texts.mapInArrow(terms, "term string").groupBy("term").agg(F.count("*").alias("n_term"))
+    by_term = texts.mapInArrow(terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     by_value = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
     total = F.lit(float(found.count()))
     told = F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term")))
