@@ -7,9 +7,9 @@ no other document has can be left out of them, so most documents drop out
 before anything is compared:
 
 1. ``rarity``: all shingles of all documents are counted, as sorted blocks of
-   48-bit keys split over ranges of the key space. A table of fixed size says
-   how often a shingle occurs, roughly; what it says wrongly only changes the
-   order, never the result.
+   48-bit keys split over ranges of the key space. A bitmap and a table of
+   fixed size say which occur again and how often, roughly; what they say
+   wrongly only changes the order, never the result.
 2. ``prefixes``: each set's prefix in that order, without unique shingles.
    Documents of the same set become one node; nodes with the same prefix and
    size become one group, and only groups meet by the shingles of their prefix.
@@ -48,10 +48,11 @@ WIDTH = 5
 #: Two sets link when SHARE_OF * intersection >= SHARE * union.
 SHARE, SHARE_OF = 80, 100
 #: Shingles that a task holds before it hands them on, and documents whose shingles one range of keys takes on average.
-FLUSH, RANGE_DOCS = 1 << 22, 1 << 13
+FLUSH, RANGE_DOCS = 1 << 20, 1 << 13
 KEY_BITS = 48
-#: Slots of the table of frequencies, one byte each.
-SLOT_BITS = 25
+#: Bits of the bitmap of shingles that occur again (of ``AGAIN`` times, or more if too many do), and slots of the table of common ones.
+MAP_BITS, SLOT_BITS = 28, 22
+AGAIN = (2, 8, 64, 512)
 WORDS_KNOWN = 1 << 19
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -144,15 +145,19 @@ def _count_ranges(docs: DataFrame, text_col: str, ranges: int) -> DataFrame:
     return docs.select(_data(docs, text_col)).mapInArrow(run, "part long, keys binary, times binary")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, int]:
-    """The table of frequencies: per slot the bit length of the largest count in it, 0 for counts below the second value.
+def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes, int]:
+    """The bitmap of shingles that occur again, the table of common ones, and from how many times on the bitmap has them.
 
-    The second value is 2 unless more keys than an eighth of the slots repeat;
-    then it is the least power of two that few enough keys reach.
+    That is 2, so that no bit means a unique shingle, as long as fewer shingles
+    occur again than the bitmap has bits. Then it is the least value of
+    ``AGAIN`` that few enough reach, and prefixes keep their unique shingles.
+    The table has the bit length of counts, from the least that a quarter of
+    its slots can hold. Both are of fixed size.
     """
-    ranges = 16
-    while ranges * RANGE_DOCS < docs.count():
+    ranges, n = 16, docs.count()
+    while ranges * RANGE_DOCS < n:
         ranges *= 2
+    map_bits, slot_bits, width = MAP_BITS, SLOT_BITS, max(8, (1 << MAP_BITS) // ranges)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unpack(x) for x in pdf["keys"]])
@@ -162,40 +167,42 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, int]:
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts, keys = np.add.reduceat(times, first), keys[first]
         keys, counts = keys[counts > 1], counts[counts > 1]
+        out = {"part": int(pdf["part"].iloc[0])}
+        place = (keys >> np.uint64(KEY_BITS - map_bits)).astype(np.int64) - out["part"] * width
+        for k in AGAIN:
+            bits = np.zeros(width, np.uint8)
+            bits[place[counts >= k]] = 1
+            out[f"n{k}"], out[f"b{k}"] = int((counts >= k).sum()), np.packbits(bits, bitorder="little").tobytes()
         levels = np.minimum(np.frexp(counts.astype(np.float64))[1], 31).astype(np.uint8)
-        slots = (keys >> np.uint64(KEY_BITS - SLOT_BITS)).astype("<u4")
-        return pd.DataFrame({"slots": [slots.tobytes()], "levels": [levels.tobytes()], "reach": [np.bincount(levels, minlength=32)[::-1].cumsum()[::-1].tolist()]})
-
-    parts = kept(_count_ranges(docs, text_col, ranges).groupBy("part").applyInPandas(merge, "slots binary, levels binary, reach array<long>"), "rarity")
-    reach = parts.select(F.posexplode("reach").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
-    least = min([r["level"] for r in reach if r["level"] >= 2 and r["n"] <= 1 << SLOT_BITS - 3], default=2)
-    table = np.zeros(1 << SLOT_BITS, np.uint8)
-
-    def fit(batches: Iterable[pa.RecordBatch], least: int = least) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots, levels = [], []
-            for s, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s, v = np.frombuffer(s, "<u4"), np.frombuffer(v, np.uint8)
-                slots.append(s[v >= least].tobytes())
-                levels.append(v[v >= least].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), pa.array(levels, pa.binary())], names=["slots", "levels"])
-
-    # an eighth of the slots at most, five bytes each
-    for row in parts.select("slots", "levels").mapInArrow(fit, "slots binary, levels binary").toLocalIterator():
-        np.maximum.at(table, np.frombuffer(row["slots"], "<u4"), np.frombuffer(row["levels"], np.uint8))
-    return table.tobytes(), least
+        slots = (keys >> np.uint64(KEY_BITS - slot_bits)).astype("<u4")
+        reach = np.bincount(levels, minlength=32)[::-1].cumsum()[::-1]
+        least = int(np.flatnonzero(reach <= (1 << slot_bits) // 4 // ranges)[0])  # each range has its share of the table
+        out |= {"slots": slots[levels >= max(least, 3)].tobytes(), "levels": levels[levels >= max(least, 3)].tobytes(), "least": max(least, 3)}
+        return pd.DataFrame([out])
+
+    schema = "part long, " + "".join(f"n{k} long, b{k} binary, " for k in AGAIN) + "slots binary, levels binary, least long"
+    parts = kept(_count_ranges(docs, text_col, ranges).groupBy("part").applyInPandas(merge, schema), "rarity")
+    total = parts.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in AGAIN), F.max("least").alias("least")).first()
+    again = next((k for k in AGAIN if total[f"n{k}"] <= 1 << MAP_BITS), AGAIN[-1])
+    bitmap, table = np.zeros((1 << MAP_BITS) // 8, np.uint8), np.zeros(1 << SLOT_BITS, np.uint8)
+    for row in parts.select("part", F.col(f"b{again}").alias("bits"), "slots", "levels").toLocalIterator():
+        at = row["part"] * width // 8
+        bitmap[at : at + width // 8] = np.frombuffer(row["bits"], np.uint8)
+        slots, levels = np.frombuffer(row["slots"], "<u4"), np.frombuffer(row["levels"], np.uint8)
+        np.maximum.at(table, slots[levels >= total["least"]], levels[levels >= total["least"]])
+    return bitmap.tobytes(), table.tobytes(), again
 
 
 PREFIXES = "n long, sid long, grp long, tokens array<long>, shingles array<long>"
 
 
-def prefixes(docs: DataFrame, table: bytes, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n``, and for sets that may link ``sid``, ``grp``, ``tokens`` (the prefix), ``shingles``; else nulls."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    shift, low = np.uint64(64 - SLOT_BITS), np.uint64(5)
+    sent, least = docs.sparkSession.sparkContext.broadcast(known[:2]), known[2]
+    to_map, to_slot = np.uint64(64 - MAP_BITS), np.uint64(64 - SLOT_BITS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(sent.value, np.uint8)
+        bitmap, table = (np.frombuffer(x, np.uint8) for x in sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -203,13 +210,15 @@ def prefixes(docs: DataFrame, table: bytes, least: int, id_col: str = "doc_id",
                 for data in part.column(1).to_pylist():
                     own = shingle_set(data)
                     size = prefix_size(len(own))
-                    level = levels[(own >> shift).astype(np.int64)]
+                    bit = (own >> to_map).astype(np.int64)
+                    level = bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
                     n.append(len(own))
-                    # with least 2 a shingle of level 0 is in no other document
+                    # with least 2 a shingle without a bit is in no other document
                     if not len(own) or least == 2 and len(own) - np.count_nonzero(level) >= size:
                         sid.append(None), grp.append(None), tokens.append(None), every.append(None)
                         continue
-                    order = np.argsort((level.astype(np.uint64) << np.uint64(59)) | (own >> low), kind="stable")[:size]
+                    level += level * table[(own >> to_slot).astype(np.int64)]
+                    order = np.argsort((level.astype(np.uint64) << np.uint64(58)) | (own >> np.uint64(6)), kind="stable")[:size]
                     if least == 2:
                         order = order[level[order] > 0]
                     first = np.sort(own[order]).view(np.int64)
@@ -236,8 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
-    table, least = rarity(docs, text_col)
-    rows = kept(prefixes(docs, table, least, id_col, text_col), "prefixes")
+    rows = kept(prefixes(docs, rarity(docs, text_col), id_col, text_col), "prefixes")
     may = rows.where("sid is not null")
     nodes = kept(may.groupBy("sid").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")), "nodes")
     members = nodes.select("sid", "grp")
