@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelark.llm import bpe, jaccard, leaks, licenses, privacy, secrets, sharding, vafile
+from scorelark.llm import bpe, jaccard, leaks, licenses, privacy, quality, secrets, sharding, vafile, warc
 from scorelark.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_ranks(), bpe.default_pattern(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = warc.write(table(spark, sf_dir, "pages"))
+    return warc.digests(warc.captures(spark, at, with_payload=False))
+
+
 def op5_license_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their posteriors."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.scan(table(spark, sf_dir, "documents"))
 
@@ -61,9 +71,11 @@ QUERIES = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_va_file": op2_va_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc_transactions": op4_warc_transactions,
     "op5_license_votes": op5_license_votes,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
+    "op8_site_bayes": op8_site_bayes,
     "op9_disclosure": op9_disclosure,
     "op10_credentials": op10_credentials,
 }
