@@ -17,8 +17,10 @@ before anything is compared:
    against the first group of each shingle: a number of pairs in proportion to
    the nodes, however large a family of copies is. Their links make components.
 4. Groups whose nodes lie in different components meet in full, shingle by
-   shingle, are filtered by size, expanded to their nodes and verified. Pairs
-   inside a component need no look: they can't change it.
+   shingle, are filtered by size and by the place of the shingle in either
+   set, expanded to their nodes and verified: first a few pairs for every two
+   components, then all that still lie apart. Pairs inside a component need no
+   look: they can't change it.
 
 So no link between different sets is lost, and copies are never paired up.
 Sets are named by a 64-bit hash (wrong merges are expected once in 10^19 / n^2
@@ -33,12 +35,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelark.llm.common import kept
@@ -50,6 +53,8 @@ SHARE, SHARE_OF = 80, 100
 #: Shingles that a task holds before it hands them on, and documents whose shingles one range of keys takes on average.
 FLUSH, RANGE_DOCS = 1 << 20, 1 << 13
 KEY_BITS = 48
+#: Pairs of nodes that are tried first for two components; all others follow.
+FIRST_TRIES = 8
 #: Bits of the bitmap of shingles that occur again (of ``AGAIN`` times, or more if too many do), and slots of the table of common ones.
 MAP_BITS, SLOT_BITS = 28, 22
 AGAIN = (2, 8, 64, 512)
@@ -193,11 +198,11 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes, int]:
     return bitmap.tobytes(), table.tobytes(), again
 
 
-PREFIXES = "n long, sid long, grp long, tokens array<long>, shingles array<long>"
+PREFIXES = "n long, odd long, sid long, grp long, tokens array<long>, rests array<int>, shingles array<long>"
 
 
 def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n``, and for sets that may link ``sid``, ``grp``, ``tokens`` (the prefix), ``shingles``; else nulls."""
+    """``id_col``, ``n``, ``odd`` (shingles that no other document has), and for sets that may link ``sid``, ``grp``, ``tokens`` (the prefix), ``rests`` (for each how many shingles stand from it on), ``shingles``; else nulls."""
     sent, least = docs.sparkSession.sparkContext.broadcast(known[:2]), known[2]
     to_map, to_slot = np.uint64(64 - MAP_BITS), np.uint64(64 - SLOT_BITS)
 
@@ -206,28 +211,31 @@ def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "do
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, sid, grp, tokens, every = [], [], [], [], []
+                n, odd, sid, grp, tokens, rests, every = [], [], [], [], [], [], []
                 for data in part.column(1).to_pylist():
                     own = shingle_set(data)
                     size = prefix_size(len(own))
                     bit = (own >> to_map).astype(np.int64)
                     level = bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
                     n.append(len(own))
+                    odd.append(len(own) - np.count_nonzero(level))
                     # with least 2 a shingle without a bit is in no other document
                     if not len(own) or least == 2 and len(own) - np.count_nonzero(level) >= size:
-                        sid.append(None), grp.append(None), tokens.append(None), every.append(None)
+                        sid.append(None), grp.append(None), tokens.append(None), rests.append(None), every.append(None)
                         continue
                     level += level * table[(own >> to_slot).astype(np.int64)]
                     order = np.argsort((level.astype(np.uint64) << np.uint64(58)) | (own >> np.uint64(6)), kind="stable")[:size]
+                    rest = len(own) - np.arange(size, dtype=np.int32)
                     if least == 2:
-                        order = order[level[order] > 0]
-                    first = np.sort(own[order]).view(np.int64)
+                        rest, order = rest[level[order] > 0], order[level[order] > 0]
+                    first = own[order].view(np.int64)
                     sid.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
                     grp.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(own)) - (1 << 63))
                     tokens.append(first)
+                    rests.append(rest)
                     every.append(own.view(np.int64))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(grp, pa.int64()), pa.array(tokens, longs), pa.array(every, longs)], names=[id_col, "n", "sid", "grp", "tokens", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(sid, pa.int64()), pa.array(grp, pa.int64()), pa.array(tokens, longs), pa.array(rests, pa.list_(pa.int32())), pa.array(every, longs)], names=[id_col, "n", "odd", "sid", "grp", "tokens", "rests", "shingles"])
 
     given = docs.select(F.col(id_col), _data(docs, text_col))
     return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {PREFIXES}")
@@ -243,15 +251,50 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.withColumn("common", common).where((F.col("common") > 0) & (SHARE_OF * F.col("common") >= SHARE * (F.col("n_a") + F.col("n_b") - F.col("common")))).select("a", "b")
 
 
+def _enough(m: str, n: str):
+    """Whether two sets of the sizes ``m`` and ``n`` may link if the shingle at hand is the first that they share.
+
+    They share no more than what stands from it on in either.
+    """
+    return (SHARE_OF + SHARE) * F.least("rest_a", "rest_b") >= SHARE * (F.col(m) + F.col(n))
+
+
+@dataclass
+class _Met:
+    placed: DataFrame
+    within: DataFrame
+    open: DataFrame
+    meeting: DataFrame
+
+
+def _meeting(heads: DataFrame, members: DataFrame, of: DataFrame) -> _Met:
+    """Where components meet: nodes (``placed``) and groups (``within``) with their component, the shingles
+    that several components have (``open``), and the pairs of components at them (``meeting``).
+
+    Components meet before their groups do, so that the groups of one component never meet each other.
+    """
+    placed = members.join(of.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "grp", F.coalesce("component", "sid").alias("comp"))
+    within = placed.select("grp", "comp").distinct()
+    at = heads.join(within, "grp")
+    several = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    open_tokens = kept(at.join(several, "token", "left_semi").select("token", "grp", "sid", "odd", "n", "rest", "comp"), "open")
+    reach = open_tokens.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    x, y = (reach.select("token", F.col("comp").alias(f"c_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("rest").alias(f"rest_{s}")) for s in "ab")
+    sized = (F.col("c_a") < F.col("c_b")) & (SHARE_OF * F.col("high_a") >= SHARE * F.col("low_b")) & (SHARE_OF * F.col("high_b") >= SHARE * F.col("low_a")) & _enough("low_a", "low_b")
+    return _Met(placed, within, open_tokens, x.join(y, "token").where(sized).select("token", "c_a", "c_b"))
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
     rows = kept(prefixes(docs, rarity(docs, text_col), id_col, text_col), "prefixes")
     may = rows.where("sid is not null")
-    nodes = kept(may.groupBy("sid").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")), "nodes")
+    nodes = kept(may.groupBy("sid").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("grp").alias("grp"), F.first("tokens").alias("tokens"), F.first("rests").alias("rests"), F.first("shingles").alias("shingles")), "nodes")
     members = nodes.select("sid", "grp")
-    groups = nodes.groupBy("grp").agg(F.min("sid").alias("head"))
-    heads = nodes.join(groups.select(F.col("head").alias("sid")), "sid", "left_semi").select("sid", "grp", "n", F.explode("tokens").alias("token"))
-    shared = heads.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last")
+    # the node with the fewest shingles of its own is likest to what a family was copied from, so it goes first
+    foremost = F.min(F.struct("odd", "sid"))["sid"]
+    groups = nodes.groupBy("grp").agg(foremost.alias("head"))
+    heads = nodes.join(groups.select(F.col("head").alias("sid")), "sid", "left_semi").select("sid", "grp", "n", "odd", F.explode(F.arrays_zip("tokens", "rests")).alias("t")).select("sid", "grp", "n", "odd", F.col("t.tokens").alias("token"), F.col("t.rests").alias("rest"))
+    shared = heads.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), foremost.alias("first")).where("low <> high").select("token", "first")
     heads = kept(heads.join(shared, "token"), "heads")
 
     star = members.join(groups, "grp").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
@@ -259,28 +302,27 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = kept(_verified(star, nodes), "links")
     of = kept(components(edges), "components")
 
-    placed = members.join(of.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "grp", F.coalesce("component", "sid").alias("comp"))
-    within = placed.select("grp", "comp").distinct()
-    meets = heads.select("token", "grp").join(within, "grp").select("token", "comp").distinct()
-    several = meets.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    # groups of one shingle in more than one component, and groups that are split themselves
-    split = within.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    open_tokens = kept(heads.select("token", "grp", "n").join(several, "token", "left_semi").join(within, "grp").select("token", "grp", "n", "comp"), "open")
-    # components first, so that the groups of one component never meet each other
-    reach = open_tokens.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = (reach.select("token", F.col("comp").alias(f"c_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for s in "ab")
-    sized = (F.col("c_a") < F.col("c_b")) & (SHARE_OF * F.col("high_a") >= SHARE * F.col("low_b")) & (SHARE_OF * F.col("high_b") >= SHARE * F.col("low_a"))
-    meeting = x.join(y, "token").where(sized).select("token", "c_a", "c_b")
-    left, right = (open_tokens.select("token", F.col("grp").alias(f"g_{s}"), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
-    compatible = SHARE_OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
-    pairs = meeting.join(left, ["token", "c_a"]).join(right, ["token", "c_b"]).where(compatible).select("g_a", "c_a", "g_b", "c_b").distinct()
-    inside = within.join(split, "grp", "left_semi")
+    met = _meeting(heads, members, of)
+    left, right = (met.open.select("token", F.col("grp").alias(f"g_{s}"), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
+    compatible = (SHARE_OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & _enough("n_a", "n_b")
+    pairs = met.meeting.join(left, ["token", "c_a"]).join(right, ["token", "c_b"]).where(compatible).select("g_a", "c_a", "g_b", "c_b").distinct()
+    # nodes of one group, if it is split itself
+    split = met.within.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
+    inside = met.within.join(split, "grp", "left_semi")
     pairs = pairs.unionByName(inside.select(F.col("grp").alias("g_a"), F.col("comp").alias("c_a")).join(inside.select(F.col("grp").alias("g_b"), F.col("comp").alias("c_b")), F.col("g_a") == F.col("g_b")).where("c_a < c_b").select("g_a", "c_a", "g_b", "c_b")).distinct()
-    first, second = (placed.select(F.col("sid").alias(s), F.col("grp").alias(f"g_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
-    rest = pairs.join(first, ["g_a", "c_a"]).join(second, ["g_b", "c_b"]).select("a", "b").distinct()
-    more = kept(_verified(rest, nodes), "links")
-    if not more.isEmpty():
-        of = kept(components(edges.unionByName(more)), "components")
+    first, second = (met.placed.select(F.col("sid").alias(s), F.col("grp").alias(f"g_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
+    rest = kept(pairs.join(first, ["g_a", "c_a"]).join(second, ["g_b", "c_b"]).select("a", "b", "c_a", "c_b").distinct(), "pairs")
+    # a few pairs of two components join most that belong together; then all pairs that still lie apart
+    some = Window.partitionBy("c_a", "c_b").orderBy(F.xxhash64("a", "b"))
+    for pairs in (rest.withColumn("k", F.row_number().over(some)).where(F.col("k") <= FIRST_TRIES), rest):
+        apart = pairs.select("a", "b")
+        for s in "ab":
+            apart = apart.join(of.select(F.col("node").alias(s), F.col("component").alias(f"at_{s}")), s, "left")
+        apart = apart.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
+        more = kept(_verified(apart, nodes), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            of = kept(components(edges), "components")
 
     by_set = may.groupBy("sid").agg(F.min(id_col).alias("least"))
     by_set = by_set.join(of.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("comp"))
