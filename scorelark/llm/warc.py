@@ -18,8 +18,9 @@ the smallest page id is the response, the others revisit it. Rows that repeat
 that id are responses too; rows without an id revisit if any row of their group
 has one, else they are responses. A null page counts as an empty one. Groups
 are found by digest, with counts added up before the shuffle, and their first
-pages are looked up by digest and salt, so a page with a third of all copies is
-spread. Extra columns stay out; an empty table gives no captures.
+pages are looked up by digest and, for groups of a thousandth of all rows, of
+which there can't be more than a thousand, by salt. So a page with a third of
+all copies is spread. Extra columns stay out; an empty table gives no captures.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from scorelark.llm.common import fresh_path, kept
 
-#: Payload bytes of an archive, on average, and parts that a group's first page is looked up in.
-FILE_BYTES, SALTS = 16 << 20, 16
+#: Payload bytes of an archive, on average; parts that a hot group is spread over, and the share of all rows that makes one hot.
+FILE_BYTES, SALTS, HOT = 16 << 20, 1024, 1000
 END = "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +60,7 @@ def base32_sha1(hex_digest):
     return F.concat(*(F.substring(digits, F.shiftright(x, s).bitwiseAND(31) + 1, F.lit(1)) for x in fives for s in (15, 10, 5, 0)))
 
 
-def plan(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def plan(pages: DataFrame, n_rows: int, files: int, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``payload``, ``size``, ``digest``, ``revisit``, ``first_id`` and ``first_url`` of every page."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     data = F.encode(payload, "utf-8")
@@ -67,10 +68,15 @@ def plan(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str
     named = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least))
     groups = named.groupBy("hex").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
     nameless = rows.where(F.col("page_id").isNull() & (F.col("size") >= least)).groupBy("hex").agg(F.count("*").alias("m"))
-    groups = groups.join(nameless, "hex", "left").where((F.col("n") > 1) | F.col("m").isNotNull())
-    spread = groups.select("hex", "first_id", "first_url", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    out = salted.join(spread, ["hex", "salt"], "left")
+    groups = groups.join(nameless, "hex", "left").where((F.col("n") > 1) | F.col("m").isNotNull()).withColumn("rows", F.col("n") + F.coalesce("m", F.lit(0)))
+    # of groups with a HOT-th of all rows there are HOT at most, so their digests may go to all tasks
+    hot = kept(groups.where(F.col("rows") >= max(16, n_rows // HOT)).select("hex"), "hot")
+    salts = F.when(F.col("is_hot"), F.lit(SALTS)).otherwise(F.lit(1))
+    marked = lambda df: df.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "hex", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    spread = marked(groups).select("hex", "first_id", "first_url", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = marked(rows).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int")).drop("is_hot")
+    # payloads move once: by the key of this join, into as many parts as there will be files
+    out = salted.repartition(files, "hex", "salt").join(spread.hint("shuffle_hash"), ["hex", "salt"], "left")
     revisit = F.col("first_id").isNotNull() & (F.col("size") >= least) & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.select("page_id", "url", "payload", "size", base32_sha1(F.col("hex")).alias("digest"), revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("first_id"), F.when(revisit, F.col("first_url")).alias("first_url"))
 
@@ -82,7 +88,7 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, **columns:
     payload = pages[columns.get("payload_col", "html")]
     total = pages.agg(F.coalesce(F.sum(F.octet_length(payload).cast("long")), F.lit(0)), F.count("*")).first()
     files = max(1, -(-(total[0] + 1024 * total[1]) // FILE_BYTES))
-    rows = plan(pages, least, **columns)
+    rows = plan(pages, int(total[1]), int(files), least, **columns)
     # the name is drawn once a row, before the records part
     rows = rows.withColumn("name", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
     request, metadata = (F.concat(F.lit("<urn:uuid:"), F.expr(f"regexp_replace(md5(concat(name, '{k}')), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5')"), F.lit(">")) for k in ("request", "metadata"))
@@ -97,9 +103,7 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, **columns:
     asked = _record("request", request, F.concat(target, together, F.lit("Content-Type: application/http; msgtype=request\r\n")), ask)
     fields = F.concat(_line("page-id", F.col("page_id").cast("string")), _line("payload-bytes", F.col("size").cast("string")), _line("refers-to-page", F.col("first_id").cast("string")))
     about = _record("metadata", metadata, F.concat(target, together, F.lit("Content-Type: application/warc-fields\r\n")), fields)
-    # dealt before the records are made, so that payloads move once more only; by the drawn name, so evenly
-    dealt = rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))).repartition(int(files), "name")
-    records = dealt.select(F.explode(F.array(F.when(F.col("revisit"), revisit).otherwise(response), asked, about)).alias("value"))
+    records = rows.select(F.explode(F.array(F.when(F.col("revisit"), revisit).otherwise(response), asked, about)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
