@@ -1,5 +1,458 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine by name, with the SQL that gives the same rows.
+
+Texts of the test tables hold next to none of the listed words, so line queries
+run over their lines and a fixture's lines together. Where a list is a
+parameter, a stand-in is bound here by a stated rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelark.functions import lexicons as lx
+from scorelark.functions import text as tx
+from scorelark.operators import impact, layout, scoring, spelling, structure
+from scorelark.sources.tables import LINES_SQL, table, with_fixture
+
+#: Everyday verbs, a parameter of the operators; these few stand in for it here.
+STANDARD = ["analyze", "author", "build", "lead", "manage", "plan", "study", "teach", "test", "write"]
+#: Verbs that count as overused, a parameter as well.
+COMMON = ["join", "make", "test", "use", "work"]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_fixture(table(spark, sf_dir, "documents"))
+
 
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return put
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _all(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {_q(pattern)})"
+
+
+def _lost(text: str, phrases) -> str:
+    """How often phrases stand between blanks."""
+    low = f"(' ' || lower({text}) || ' ')"
+    return "(" + " + ".join(f"CAST((length({low}) - length(replace({low}, {_q(f' {p} ')}, ''))) / {len(p) + 2} AS INTEGER)" for p in phrases) + ")"
+
+
+BODY = r"regexp_replace(text, '^[•●▪◦‣⁃·■○∙\-–—*o>\s]+|\s+$', '', 'g')"
+KEPT = f"kept AS (SELECT *, {BODY} AS body FROM lines WHERE length(regexp_replace({BODY}, '[^A-Za-z0-9]', '', 'g')) >= 2)"
+
+def _numbers(text: str) -> str:
+    # RE2 knows ASCII word boundaries only, so letters beyond ASCII are put as ASCII ones
+    text = f"regexp_replace({text}, '[À-ɏͰ-῿]', 'a', 'g')"
+    masked = f"regexp_replace({text}, {_q(tx.YEAR)}, ' ', 'g')"
+    spelled = f"len(list_filter({_all(text, tx.WORD)}, lambda w: lower(w) IN ({lx.quoted(lx.SPELLED_NUMBERS)})))"
+    return f"(len({_all(masked, tx.NUMBER)}) + len({_all(masked, tx.RATIO)}) + len({_all(text, tx.ROMAN)}) + {spelled})"
+
+
+def _tok(source: str, text: str = "text") -> str:
+    """A table with the words of a column as they are (toks) and in lower case (low)."""
+    return f"(SELECT *, list_transform(toks, lambda w: lower(w)) AS low FROM (SELECT *, {_all(text, tx.WORD)} AS toks FROM {source}))"
+
+
+def _passive() -> str:
+    participle = f"(x IN ({lx.quoted(lx.IRREGULAR_PARTICIPLES)}) OR (ends_with(x, 'ed') AND length(x) > 4 AND x NOT IN ({lx.quoted(lx.WEAK_VERBS)})))"
+    return f"(len(list_filter(low, lambda w, i: w IN ({lx.quoted(lx.BE_VERBS)}) AND len(list_filter(list_slice(low, i + 1, i + 2), lambda x: {participle})) > 0)) > 0)"
+
+
+def _tools(text: str) -> str:
+    def hit(t: str) -> str:
+        if " " in t:
+            return f"contains(lower({text}), {_q(t)})"
+        return f"regexp_matches(lower({text}), {_q('(?:^|[^a-z])' + ''.join(chr(92) + c if c in '+.&' else c for c in t) + '(?:$|[^a-z])')})"
+
+    return "list_filter([" + ", ".join(f"CASE WHEN {hit(t)} THEN {_q(t)} END" for t in sorted(lx.TOOLS)) + "], lambda x: x IS NOT NULL)"
+
+
+FILLERS = [w for w in (*lx.FILLER_ADVERBS, *lx.BUZZWORDS, *lx.ARTICLES) if " " not in w]
+
+
+def _filler(text: str) -> str:
+    return f"(len(list_filter(low, lambda w: w IN ({lx.quoted(FILLERS)}))) + {_lost(text, lx.WEASEL_PHRASES)})"
+
+
+def _pronouns(text: str) -> str:
+    return f"(len(list_filter(toks, lambda w, i: lower(w) IN ({lx.quoted(lx.FIRST_PERSON)}) AND (w <> upper(w) OR regexp_matches(coalesce(toks[i + 1], ''), '^[a-z]')))) + {_lost(text, lx.PRONOUN_PHRASES)})"
+
+
+@query(f"WITH {LINES_SQL}, {KEPT} SELECT doc_id, count(*) AS n_lines, CAST(sum(len({_all('text', tx.COUNTED_WORD)})) AS BIGINT) AS n_words FROM kept GROUP BY doc_id")
+def lines_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.word_counts(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, n AS (SELECT doc_id, {_numbers('text')} AS n FROM kept)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (n > 0) AS n_quantified, avg(CAST(n > 0 AS DOUBLE)) AS share, CAST(sum(n) AS BIGINT) AS n_numbers FROM n GROUP BY doc_id""")
+def number_specifics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.numbers(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, n AS (SELECT doc_id, len(toks) AS w, {_filler('text')} AS f, {_pronouns('text')} AS p FROM {_tok('lines')}),
+s AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS n_words, CAST(sum(f) AS BIGINT) AS n_filler, CAST(sum(p) AS BIGINT) AS n_pronouns FROM n GROUP BY doc_id)
+SELECT *, 8.0::DOUBLE - 8.0::DOUBLE * least(1.0::DOUBLE, 0.6::DOUBLE * least(1.0::DOUBLE, n_filler / 16.0::DOUBLE) + 0.4::DOUBLE * least(1.0::DOUBLE, n_pronouns / 8.0::DOUBLE)) AS points,
+  CASE WHEN n_pronouns > 0 THEN 'Needs Work!' WHEN n_filler > 0 THEN 'On Track!' ELSE 'Good Job!' END AS status FROM s""")
+def avoided_words_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.avoided(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT} SELECT doc_id, count(*) FILTER (p) AS n_passive, avg(CAST(p AS DOUBLE)) AS share FROM (SELECT doc_id, {_passive()} AS p FROM {_tok('kept')}) GROUP BY doc_id""")
+def passive_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.passive(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, unnest({_tools('text')}) AS tool FROM lines) SELECT doc_id, tool, count(*) AS n_lines FROM t GROUP BY ALL""")
+def tools_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.tools_named(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, e AS (SELECT doc_id, avg(CAST({_numbers('text')} > 0 AS DOUBLE)) AS quantified, avg(CAST(len({_tools('text')}) > 0 AS DOUBLE)) AS tooled, avg(CAST({_passive()} AS DOUBLE)) AS passive FROM {_tok('kept')} GROUP BY doc_id)
+SELECT *, greatest(0.0::DOUBLE, least(12.0::DOUBLE, 12.0::DOUBLE * (0.5::DOUBLE * least(1.0::DOUBLE, quantified / 0.6::DOUBLE) + 0.5::DOUBLE * least(1.0::DOUBLE, tooled / 0.15::DOUBLE) - least(0.25::DOUBLE, passive * 0.5::DOUBLE)))) AS points FROM e""")
+def specifics_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.specifics(_lines(spark, sf_dir))
+
+
+def _endings_sql(t: str) -> str:
+    n = f"length({t})"
+    return f"""[CASE WHEN ends_with({t}, 'ied') OR (ends_with({t}, 'ies') AND {n} > 4) THEN substr({t}, 1, {n} - 3) || 'y' END,
+  CASE WHEN ends_with({t}, 'ed') THEN substr({t}, 1, {n} - 2) END, CASE WHEN ends_with({t}, 'ed') THEN substr({t}, 1, {n} - 1) END,
+  CASE WHEN ends_with({t}, 'ing') THEN substr({t}, 1, {n} - 3) END, CASE WHEN ends_with({t}, 'ing') THEN substr({t}, 1, {n} - 3) || 'e' END,
+  CASE WHEN ends_with({t}, 's') AND NOT ends_with({t}, 'ss') THEN substr({t}, 1, {n} - 1) END]"""
+
+
+def _lemmas_sql(source: str) -> str:
+    """(w, forms) of the distinct words (column w) of a table."""
+    past = "CASE t " + " ".join(f"WHEN {_q(a)} THEN {_q(b)}" for a, b in lx.IRREGULAR_PAST.items()) + " END"
+    step = f"""SELECT w, t, list_concat([t, {past}], {_endings_sql('t')}, [CASE WHEN length(t) > 4 AND (ends_with(t, 'ed') OR ends_with(t, 'ing')) AND substr(t, length(t) - 2, 1) = substr(t, length(t) - 3, 1) THEN substr(t, 1, length(t) - 3) END]) AS o
+  FROM (SELECT DISTINCT w, regexp_replace(lower(w), '^[.,;:()\\[\\]]+|[.,;:()\\[\\]]+$', '', 'g') AS t FROM {source})"""
+    for p in tx.PREFIXES:
+        k = len(p)
+        step = f"""SELECT w, t, CASE WHEN starts_with(t, '{p}') AND length(t) > {k + 2} THEN list_concat(o, list_filter(list_transform(o, lambda x: substr(x, {k + 1})), lambda x: length(x) > 2), [substr(t, {k + 1})], {_endings_sql(f"substr(t, {k + 1})")}) ELSE o END AS o FROM ({step})"""
+    return f"SELECT w, list_distinct(list_filter(o, lambda x: x IS NOT NULL AND x <> '')) AS forms FROM ({step})"
+
+
+def _verbs(words) -> str:
+    return f"[{lx.quoted(words)}]"
+
+
+TIER_SQL = f"""tok AS (SELECT doc_id, line_no, body, {_all('body', tx.WORD)} AS w, regexp_extract(substr(body, 1, 90), '(\\s[—–|]\\s|:\\s)', 1) AS mark, regexp_matches(body, {_q(tx.DETAIL_LABEL)}) AS detail
+  FROM kept WHERE NOT regexp_matches(body, {_q(tx.LIST_LABEL)}) AND NOT regexp_matches(body, {_q(tx.CREDENTIAL)})),
+cand AS (SELECT *, w[1] AS a, w[2] AS b, CASE WHEN mark <> '' THEN {_all("substr(body, instr(body, mark) + length(mark))", tx.WORD)}[1] END AS c FROM tok),
+every AS (SELECT a AS w FROM cand UNION SELECT b FROM cand UNION SELECT c FROM cand),
+lem AS ({_lemmas_sql('(SELECT w FROM every WHERE w IS NOT NULL)')}),
+cls AS (SELECT w, CASE WHEN list_has_any(forms, {_verbs(lx.STRONG_VERBS)}) THEN 'strong' WHEN list_has_any(forms, {_verbs(STANDARD)}) THEN 'standard' WHEN list_has_any(forms, {_verbs(lx.WEAK_VERBS)}) THEN 'weak' ELSE 'none' END AS tier FROM lem),
+t3 AS (SELECT cand.*, coalesce(x.tier, 'none') AS ta, coalesce(y.tier, 'none') AS tb, coalesce(z.tier, 'none') AS tc FROM cand LEFT JOIN cls x ON x.w = a LEFT JOIN cls y ON y.w = b LEFT JOIN cls z ON z.w = c),
+pick AS (SELECT *, regexp_matches(body, '^\\s*[A-Za-z]+ly\\b') AND tb <> 'none' AS steps FROM t3),
+tiers AS (SELECT doc_id, line_no, detail, CASE WHEN {' OR '.join(f"starts_with(ltrim(lower(body)), {_q(p)})" for p in (*lx.NON_VERB_OPENERS, *lx.NOUN_PHRASE_OPENERS))} OR a IS NULL THEN 'none'
+  WHEN steps THEN tb WHEN ta <> 'none' THEN ta WHEN tc <> 'none' THEN tc WHEN ends_with(lower(a), 'ing') THEN 'weak' ELSE 'none' END AS tier FROM pick)"""
+
+
+@query(f"WITH {LINES_SQL}, {KEPT}, {TIER_SQL} SELECT doc_id, line_no, tier, detail FROM tiers")
+def verb_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.tiers(_lines(spark, sf_dir), STANDARD)
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, {TIER_SQL}, w AS (SELECT *, CASE tier WHEN 'strong' THEN 1.0::DOUBLE WHEN 'standard' THEN 0.92::DOUBLE WHEN 'weak' THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM tiers),
+g AS (SELECT doc_id, count(*) FILTER (tier = 'strong') AS n_strong, count(*) FILTER (tier = 'standard') AS n_standard, count(*) FILTER (tier = 'weak') AS n_weak, count(*) FILTER (tier = 'none') AS n_none, coalesce(avg(weight) FILTER (NOT detail), avg(weight)) AS mean_weight FROM w GROUP BY doc_id)
+SELECT *, 12.0::DOUBLE * mean_weight AS points FROM g""")
+def action_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.action(_lines(spark, sf_dir), STANDARD)
+
+
+@query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, lower(unnest({_all('text', tx.WORD)})) AS w FROM lines), c AS (SELECT doc_id, w, count(*) AS n FROM t WHERE length(w) >= 4 GROUP BY ALL),
+lem AS ({_lemmas_sql('c')}), f AS (SELECT c.*, forms FROM c JOIN lem USING (w) WHERE list_has_any(forms, {_verbs(COMMON)})),
+k AS (SELECT *, list_sort(list_transform(list_filter(forms, lambda x: length(x) >= 4), lambda x: lpad(CAST(length(x) AS VARCHAR), 5, '0') || x))[1][6:] AS base, regexp_matches(w, '(ed|ing)$') OR w IN ({lx.quoted(lx.IRREGULAR_PAST)}) AS inflected FROM f),
+g AS (SELECT doc_id, base, CAST(sum(n) AS BIGINT) AS total, sum(CASE WHEN inflected THEN n ELSE 0 END) AS i, string_agg(w, '/' ORDER BY w) AS label FROM k GROUP BY doc_id, base)
+SELECT doc_id, label, total FROM g WHERE total >= 3 AND i * 2 >= total""")
+def overuse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.overused(_lines(spark, sf_dir), COMMON)
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, n AS (SELECT doc_id, line_no, CAST(len({_all('body', tx.LENGTH_TOKEN)}) AS INTEGER) AS n_tokens, body FROM kept),
+f AS (SELECT doc_id, line_no, n_tokens, list_filter([CASE WHEN {_numbers('body')} = 0 AND len({_tools('body')}) = 0 THEN 'no specifics' END, CASE WHEN {_passive()} THEN 'passive' END, CASE WHEN {_filler('body')} + {_pronouns('body')} > 0 THEN 'avoided words' END,
+ CASE WHEN n_tokens < 8 THEN 'too short' WHEN n_tokens < 12 THEN 'short' WHEN n_tokens > 80 THEN 'too long' WHEN n_tokens > 55 THEN 'long' END], lambda x: x IS NOT NULL) AS f FROM {_tok('n', 'body')})
+SELECT doc_id, line_no, n_tokens, array_to_string(f, '; ') AS flags FROM f WHERE len(f) > 0""")
+def bullet_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.flags(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, e AS (SELECT doc_id, CAST(sum(len({_all('text', tx.EMAIL)})) AS BIGINT) AS n_email, CAST(sum(len({_all('text', tx.PHONE)})) AS BIGINT) AS n_phone, CAST(sum(len({_all('text', tx.URL)})) AS BIGINT) AS n_url, bool_or(regexp_matches(text, {_q(tx.REFERENCES)})) AS asks_references FROM lines GROUP BY doc_id)
+SELECT * FROM e WHERE n_email + n_phone + n_url > 0 OR asks_references""")
+def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.contacts(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, e AS (SELECT doc_id, regexp_matches(text, '[.!?]\\s*$') AS e FROM kept WHERE len({_all('text', tx.COUNTED_WORD)}) >= 4)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (e) AS n_ended, bool_and(e) OR NOT bool_or(e) AS passed FROM e GROUP BY doc_id""")
+def bullet_punctuation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.endings(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, line_no, regexp_matches(ltrim(text), '^[•●▪◦‣⁃·■○∙](?:$|[\\sA-Za-z0-9])') OR (regexp_matches(ltrim(text), '^[-–—*o>]\\s') AND NOT regexp_matches(ltrim(text), '^[-–—]\\s*\\d')) AS bullet,
+ regexp_matches({BODY}, {_q(tx.LIST_LABEL)}) AS list, regexp_matches({BODY}, {_q(tx.DETAIL_LABEL)}) AS detail, regexp_matches({BODY}, {_q(tx.CREDENTIAL)}) AS credential FROM lines""")
+def line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = tx.body_text(F.col("text"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", tx.is_bullet(F.col("text")).alias("bullet"), body.rlike(tx.LIST_LABEL).alias("list"), body.rlike(tx.DETAIL_LABEL).alias("detail"), body.rlike(tx.CREDENTIAL).alias("credential"))
+
+
+TOKENS = "regexp_extract_all(text, '[\\p{L}][\\p{L}''-]*')"
+SPELL_SQL = f"""known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}][\\p{{L}}''-]*')) AS word FROM benchmark),
+t AS (SELECT doc_id, unnest({TOKENS}) AS w, generate_subscripts({TOKENS}, 1) AS pos FROM documents),
+n AS (SELECT *, regexp_replace(lower(w), '^[-'']+|[-'']+$', '', 'g') AS word FROM t),
+f AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first, arg_min(w, pos) AS form FROM n WHERE length(word) >= 3 GROUP BY doc_id, word),
+u AS (SELECT * FROM f WHERE word NOT IN (SELECT word FROM known)),
+m AS (SELECT doc_id, regexp_replace(word, 's+$', '') AS stem, CAST(sum(n) AS BIGINT) AS n, first(form ORDER BY length(form) DESC, first) AS form FROM u GROUP BY doc_id, stem),
+r AS (SELECT doc_id, form, n, CASE WHEN form <> lower(form) THEN 'yellow' WHEN length(form) >= 4 THEN 'red' ELSE 'yellow' END AS colour FROM m)"""
+
+
+def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.unknown(table(spark, sf_dir, "documents"), spelling.vocabulary(table(spark, sf_dir, "benchmark")))
+
+
+@query(f"WITH {SPELL_SQL} SELECT * FROM r")
+def spell_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unknown(spark, sf_dir)
+
+
+@query(f"WITH {SPELL_SQL} SELECT doc_id, count(*) FILTER (colour = 'red') AS n_red, count(*) FILTER (colour = 'yellow') AS n_yellow, greatest(0.0::DOUBLE, 3.0::DOUBLE - count(*) FILTER (colour = 'red')) AS points FROM r GROUP BY doc_id")
+def spell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.score(_unknown(spark, sf_dir))
+
+
+@query(r"""WITH b AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*')) AS b, generate_subscripts(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*'), 1) - 1 AS line_no FROM pages),
+l AS (SELECT doc_id, line_no, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) AS tag, trim(regexp_replace(b, '^<[^>]*>', ''), ' ') AS text FROM b),
+s AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM l)
+SELECT doc_id, section, count(*) AS n_lines, count(*) FILTER (tag = 'li') AS n_items, arg_min(text, line_no) AS heading FROM s GROUP BY doc_id, section""")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.section_sizes(structure.html_lines(table(spark, sf_dir, "pages")))
+
+
+ROLE = "CASE role WHEN 'user' THEN 'header' WHEN 'assistant' THEN 'bullet' ELSE 'loose' END"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("role") == "user", "header").when(F.col("role") == "assistant", "bullet").otherwise("loose")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), role.alias("role"), "text")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT conv_id AS doc_id, turn AS seq, {ROLE} AS role FROM conversations),
+o AS (SELECT *, role = 'header' AND coalesce(lag(role) OVER (PARTITION BY doc_id ORDER BY seq, role), 'bullet') = 'bullet' AS opens FROM t),
+e AS (SELECT *, CAST(sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY seq, role) AS BIGINT) AS entry FROM o)
+SELECT doc_id, entry, count(*) FILTER (role = 'header') AS n_headers, count(*) FILTER (role = 'bullet') AS n_bullets, min(seq) AS first_seq FROM e GROUP BY doc_id, entry""")
+def entry_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.entries(_turns(spark, sf_dir).select("doc_id", "seq", "role").distinct())
+
+
+@query(f"""WITH t AS (SELECT conv_id AS doc_id, {ROLE} AS role, text FROM conversations) SELECT doc_id, role, count(*) AS n_units, CAST(sum(len({_all('text', tx.COUNTED_WORD)})) AS BIGINT) AS n_words FROM t WHERE role <> 'loose' OR doc_id NOT IN (SELECT doc_id FROM t WHERE role = 'header') GROUP BY doc_id, role""")
+def text_units_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and bullets, and loose lines of what has no header."""
+    turns = _turns(spark, sf_dir)
+    loose = turns.where("role = 'loose'").join(turns.where("role = 'header'").select("doc_id").distinct(), "doc_id", "left_anti")
+    units = turns.where("role <> 'loose'").unionByName(loose)
+    return units.groupBy("doc_id", "role").agg(F.count("*").alias("n_units"), F.sum(tx.word_count(F.col("text"))).alias("n_words"))
+
+
+PARTS = {"action": impact.ACTION, "specifics": impact.SPECIFICS, "avoided": impact.AVOIDED}
 FLAGSHIP = "scorecard"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the lines: the points of three parts, a row a document."""
+    lines, text = _lines(spark, sf_dir), F.col("text")
+    a = impact.action(lines, STANDARD).select("doc_id", F.col("points").alias("action"))
+    s = impact.specifics(lines).select("doc_id", F.col("points").alias("specifics"))
+    v = impact.avoided(lines).select("doc_id", F.col("points").alias("avoided"))
+    return v.join(a, "doc_id", "left").join(s, "doc_id", "left")
+
+
+def _sub(name: str, as_name: str) -> str:
+    """Another query's SQL as the tables ``as_name``, its names apart from others'."""
+    return f"{as_name} AS ({ORACLES[name]})"
+
+
+PARTS_SQL = f"""{_sub('avoided_words_score', 'qv')}, {_sub('action_oriented', 'qa')}, {_sub('specifics_score', 'qs')},
+parts AS (SELECT qv.doc_id, qa.points AS action, qs.points AS specifics, qv.points AS avoided FROM qv LEFT JOIN qa USING (doc_id) LEFT JOIN qs USING (doc_id))"""
+ERF = "t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))"
+CARD_SQL = f"""{PARTS_SQL}, total AS (SELECT *, round_even(100 * (0.0::DOUBLE + coalesce(action, 0) + coalesce(specifics, 0) + coalesce(avoided, 0)) / 32.0::DOUBLE, 1) AS overall FROM parts),
+z AS (SELECT *, (overall - 70.0::DOUBLE) / 14.0::DOUBLE AS z FROM total), x AS (SELECT *, abs(z) / 1.4142135623730951::DOUBLE AS x FROM z), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM x),
+cards AS (SELECT doc_id, action, specifics, avoided, overall, CASE WHEN overall < 33 THEN 'red' WHEN overall < 86 THEN 'yellow' ELSE 'green' END AS zone,
+  round_even(100 * (0.5::DOUBLE * (1 + sign(z) * (1 - {ERF.replace('0.254829592', '0.254829592::DOUBLE')} * exp(-x * x)))), 1) AS percentile FROM t)"""
+
+
+@query(f"WITH {CARD_SQL} SELECT * FROM cards")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scorecard(_parts(spark, sf_dir), PARTS)
+
+
+@query(f"WITH {CARD_SQL} SELECT zone, count(*) AS n, min(overall) AS lowest, max(overall) AS highest FROM cards GROUP BY zone")
+def zone_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorecard(spark, sf_dir).groupBy("zone").agg(F.count("*").alias("n"), F.min("overall").alias("lowest"), F.max("overall").alias("highest"))
+
+
+FIND_SQL = f"""{PARTS_SQL}, f AS (
+  SELECT doc_id, 0 AS seq, 'action' AS part, 12.0::DOUBLE - coalesce(action, 0) AS lost, 12.0::DOUBLE AS most FROM parts UNION ALL
+  SELECT doc_id, 1, 'specifics', 12.0::DOUBLE - coalesce(specifics, 0), 12.0::DOUBLE FROM parts UNION ALL
+  SELECT doc_id, 2, 'avoided', 8.0::DOUBLE - coalesce(avoided, 0), 8.0::DOUBLE FROM parts),
+found AS (SELECT *, CASE WHEN lost > 0.5::DOUBLE * most THEN 'error' WHEN lost > 0.01::DOUBLE THEN 'warn' ELSE 'good' END AS severity FROM f)"""
+
+
+@query(f"""WITH {FIND_SQL} SELECT doc_id, CAST(rank AS INTEGER) AS rank, part, severity, lost FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lost DESC, CASE severity WHEN 'error' THEN 0 ELSE 1 END, seq) AS rank FROM found WHERE lost > 0.01::DOUBLE AND severity <> 'good') WHERE rank <= 2""")
+def top_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.top_actions(scoring.findings(_parts(spark, sf_dir), PARTS), 2)
+
+
+@query(f"""WITH {FIND_SQL}, c AS (SELECT doc_id, seq, 1.0::DOUBLE + seq AS claim, sum(lost) OVER (PARTITION BY doc_id) AS deficit FROM found)
+SELECT doc_id, seq, claim, deficit, CASE WHEN deficit <= 0 THEN 0.0::DOUBLE ELSE round_even(claim * deficit / sum(claim) OVER (PARTITION BY doc_id), 8) END AS lost FROM c""")
+def reconcile_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of weight 1, 2 and 3 on what a document has lost in all."""
+    from pyspark.sql import Window
+
+    found = scoring.findings(_parts(spark, sf_dir), PARTS)
+    claims = found.select("doc_id", "seq", (1.0 + F.col("seq")).alias("claim"), F.sum("lost").over(Window.partitionBy("doc_id")).alias("deficit"))
+    return scoring.reconcile(claims, 8)
+
+
+@query(f"""WITH {CARD_SQL}, s AS (SELECT lang AS name, overall FROM cards JOIN documents USING (doc_id))
+SELECT name, count(*) AS n, avg(overall) AS mean, CASE WHEN stddev_pop(overall) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(overall) END AS stdev, median(overall) AS median, min(overall) AS min, max(overall) AS max FROM s GROUP BY name HAVING count(*) >= 2""")
+def cohort_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.cohort(scorecard(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), "lang")
+
+
+def _avoided_of(sql_table: str, key: str) -> str:
+    return f"(SELECT {key} AS key, 8.0::DOUBLE - 8.0::DOUBLE * least(1.0::DOUBLE, 0.6::DOUBLE * least(1.0::DOUBLE, {_filler('text')} / 16.0::DOUBLE) + 0.4::DOUBLE * least(1.0::DOUBLE, {_pronouns('text')} / 8.0::DOUBLE)) AS points FROM {_tok(sql_table)})"
+
+
+@query(f"""WITH d AS (SELECT *, coalesce(b.points, 0.0::DOUBLE) AS before, coalesce(a.points, 0.0::DOUBLE) AS after FROM {_avoided_of('documents', 'doc_id')} b FULL JOIN {_avoided_of('benchmark', 'item_id')} a USING (key))
+SELECT key, before, after, after - before AS change FROM d WHERE abs(after - before) > 0.05::DOUBLE""")
+def score_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The avoided-words points of documents against those of the benchmark items of the same number."""
+    of = lambda name, key: impact.avoided(table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "points")
+    return scoring.difference(of("documents", "doc_id"), of("benchmark", "item_id"), ["key"])
+
+
+@query("SELECT CAST(i AS BIGINT) AS score, exp(-0.5::DOUBLE * pow((i - 70.0::DOUBLE) / 14.0::DOUBLE, 2)) AS density FROM range(101) AS r(i)")
+def peer_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.peer_curve(spark)
+
+
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.report_json(scorecard(spark, sf_dir))
+
+
+ROLES = "SELECT o_custkey AS who, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS start_month, CAST(year(o_orderdate) * 12 + month(o_orderdate) + o_orderkey % 5 AS INTEGER) AS end_month FROM orders"
+
+
+@query(f"""WITH r AS ({ROLES}), n AS (SELECT *, lead(start_month) OVER (PARTITION BY who ORDER BY start_month, end_month) AS next_start FROM r)
+SELECT who, end_month, next_start, next_start - end_month AS gap FROM n WHERE next_start - end_month > 6""")
+def timeline_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as roles: they begin in their month and last up to four more."""
+    start = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return structure.gaps(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), start.cast("int").alias("start_month"), (start + F.col("o_orderkey") % 5).cast("int").alias("end_month")))
+
+
+HEADINGS = ["  EDUCATION:  ", "Work Experience", "Research", "Leadership & Activities", "Skills/Interests", "Awards", "Volunteer Work", "My Story", "Coursework —", "", "experience", "Objective", "Papers.", "Hobby"]
+
+
+def _headings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k // 4, h) for k, h in enumerate(HEADINGS)], "doc_id long, heading string")
+
+
+def _key_sql() -> str:
+    t = "lower(heading)"
+    for pattern in (r"^\s+|\s+$", r"[|:•·\-–—_]+$", r"^\s+|\s+$", r"^[|:•·\-–—_]+", r"^\s+|\s+$", r"[.,;:]+$", r"^\s+|\s+$"):
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    return rf"regexp_replace({t}, '\s+', ' ', 'g')"
+
+
+_NAMES = [(h, c) for c, hs in lx.SECTIONS.items() for h in hs]
+HEAD_SQL = f"""h AS (SELECT CAST(d AS BIGINT) AS doc_id, heading FROM (VALUES {', '.join(f"({k // 4}, {_q(h)})" for k, h in enumerate(HEADINGS))}) AS v(d, heading)),
+names AS (SELECT heading, canonical, ord, regexp_replace(lower(heading), '[^a-z0-9&]', '', 'g') AS s FROM (VALUES {', '.join(f"({_q(h)}, {_q(c)}, {k})" for k, (h, c) in enumerate(_NAMES))}) AS v(heading, canonical, ord)),
+k AS (SELECT doc_id, heading, {_key_sql()} AS key FROM h), q AS (SELECT *, regexp_replace(lower(key), '[^a-z0-9&]', '', 'g') AS s FROM k),
+canon AS (SELECT doc_id, heading, coalesce((SELECT arg_max(canonical, ord) FROM names WHERE names.heading = q.key), (SELECT arg_min(canonical, ord) FROM names WHERE names.s = q.s),
+  (SELECT arg_min(canonical, ord) FROM names WHERE q.s <> '' AND (contains(names.s, q.s) OR contains(q.s, names.s)) AND abs(length(names.s) - length(q.s)) <= 6)) AS canonical FROM q)"""
+
+
+@query(f"WITH {HEAD_SQL} SELECT * FROM canon")
+def section_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.canonical(_headings(spark))
+
+
+@query(f"""WITH {HEAD_SQL}, g AS (SELECT doc_id, bool_or(coalesce(canonical = 'education', false)) AS education, bool_or(coalesce(canonical IN ({lx.quoted(lx.EXPERIENCE_CLASS)}), false)) AS experience, bool_or(coalesce(canonical IN ({lx.quoted(lx.EXTRACURRICULAR)}), false)) AS extracurricular, count(*) FILTER (canonical IS NULL) AS n_unknown, count(*) AS n_sections FROM canon GROUP BY doc_id)
+SELECT *, greatest(0.0::DOUBLE, 9.0::DOUBLE - (CASE WHEN education THEN 0 ELSE 4.5::DOUBLE END + CASE WHEN experience THEN 0 ELSE 4.5::DOUBLE END + least(2.0::DOUBLE, 1.0::DOUBLE * n_unknown) + CASE WHEN n_sections >= 9 THEN 1.35::DOUBLE ELSE 0 END)) AS points, CASE WHEN extracurricular THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END AS extra_points FROM g""")
+def essential_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.essential(structure.canonical(_headings(spark)))
+
+
+#: Words of two small pages, with rows that drift and rows that don't.
+WORDS = [(d, 1, k, f"w{d}{k}", 72.0 + 40.0 * (k % 3) + d, 100.0 + 40.0 * (k % 3), 50.0 + 2.0 * (k % 3) + 14.0 * (k // 3) + (1.5 * k if d else 0.0), 60.0 + 14.0 * (k // 3) + (1.5 * k if d else 0.0), 9.0 + (k % 2)) for d in range(2) for k in range(12)]
+WORDS_DDL = "doc_id long, page int, word_pos int, text string, x0 double, x1 double, top double, bottom double, size double"
+WORDS_SQL = "words AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page AS INTEGER) AS page, CAST(word_pos AS INTEGER) AS word_pos, text, x0::DOUBLE AS x0, x1::DOUBLE AS x1, top::DOUBLE AS top, bottom::DOUBLE AS bottom, size::DOUBLE AS size FROM (VALUES " + ", ".join(str(w) for w in WORDS) + ") AS v(doc_id, page, word_pos, text, x0, x1, top, bottom, size))"
+
+
+def _words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WORDS, WORDS_DDL)
+
+
+@query(f"WITH {WORDS_SQL}, b AS (SELECT doc_id, page, min(x0) AS l, max(x1) AS r, min(top) AS t, max(bottom) AS b FROM words GROUP BY ALL) SELECT doc_id, page, l AS left_margin, 612.0::DOUBLE - r AS right_margin, t AS top_margin, 792.0::DOUBLE - b AS bottom_margin, least(greatest((b - t) / (792.0::DOUBLE - t), 0.0::DOUBLE), 1.0::DOUBLE) AS fill_ratio FROM b")
+def page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark)
+    return layout.margins(words, words.select("doc_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)}))
+
+
+@query(f"""WITH RECURSIVE {WORDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, size) AS rn FROM words),
+f AS (SELECT doc_id, page, word_pos, rn, top AS anchor, size AS s FROM o WHERE rn = 1 UNION ALL
+  SELECT o.doc_id, o.page, o.word_pos, o.rn, CASE WHEN o.top - f.anchor > greatest(2.6::DOUBLE, 0.3::DOUBLE * f.s) THEN o.top ELSE f.anchor END, CASE WHEN o.top - f.anchor > greatest(2.6::DOUBLE, 0.3::DOUBLE * f.s) THEN o.size ELSE f.s END
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.rn = f.rn + 1),
+p AS (SELECT words.*, anchor AS row_top FROM words JOIN f USING (doc_id, page, word_pos)),
+m AS (SELECT doc_id, page, row_top, first(s ORDER BY n DESC, s) AS size FROM (SELECT doc_id, page, row_top, round(size, 1) AS s, count(*) AS n FROM p GROUP BY ALL) GROUP BY ALL),
+b AS (SELECT doc_id, page, row_top, string_agg(text, ' ' ORDER BY x0, word_pos) AS text, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM p GROUP BY doc_id, page, row_top)
+SELECT doc_id, page, text, x0, x1, top, bottom, size, coalesce(top - lag(bottom) OVER w, 0.0::DOUBLE) AS space_above, CAST(row_number() OVER w - 1 AS INTEGER) AS line_no FROM b JOIN m USING (doc_id, page, row_top) WINDOW w AS (PARTITION BY doc_id, page ORDER BY row_top)""")
+def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines(_words(spark))
+
+
+@query(f"""WITH RECURSIVE {WORDS_SQL}, v AS (SELECT DISTINCT doc_id, x0 FROM words), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x0) AS rn FROM v),
+f AS (SELECT doc_id, rn, x0 AS anchor, 1 AS n FROM o WHERE rn = 1 UNION ALL SELECT o.doc_id, o.rn, CASE WHEN x0 - anchor > 3 THEN x0 ELSE anchor END, n + CASE WHEN x0 - anchor > 3 THEN 1 ELSE 0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.rn = f.rn + 1)
+SELECT doc_id, CAST(max(n) AS INTEGER) AS n_clusters, max(n) <= 1 AS passed FROM f GROUP BY doc_id""")
+def indent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.indent_clusters(_words(spark).select("doc_id", F.col("x0").alias("indent")))
+
+
+@query(f"WITH {WORDS_SQL}, s AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, word_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words) SELECT doc_id, page, reach AS gap_from, x0 AS gap_to FROM s WHERE x0 > reach")
+def gutter_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.gutters(_words(spark))
+
+
+STEMS = [("plan", "DG"), ("study", "SD"), ("box", "S"), ("cat", "")]
+RULES = [("D", "", "ned", "n"), ("D", "y", "ied", "[^aeiou]y"), ("G", "", "ning", "n"), ("S", "y", "ies", "[^aeiou]y"), ("S", "", "es", "[sxzh]")]
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {', '.join(str(s) for s in STEMS)}) AS v(word, flags)), r AS (SELECT * FROM (VALUES {', '.join(str(r) for r in RULES)}) AS v(flag, strip, plus, condition)),
+e AS (SELECT word, unnest(string_split(flags, '')) AS flag FROM s)
+SELECT word FROM s UNION SELECT substr(word, 1, length(word) - length(strip)) || plus FROM e JOIN r USING (flag) WHERE regexp_matches(word, '(?:' || condition || ')$') AND ends_with(word, strip)""")
+def affix_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.affix_forms(spark.createDataFrame(STEMS, "word string, flags string"), spark.createDataFrame(RULES, "flag string, strip string, add string, condition string"))
+
+
+@query()
+def date_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = [(1, 0, "Jun - Aug 2017"), (1, 1, "Sept 2020 - Present"), (1, 2, "Expected May 2027"), (1, 3, "2019"), (1, 4, "Jan 2018 to March 2019, then May 2020"), (1, 5, "no date")]
+    return structure.date_spans(_lines(spark, sf_dir).unionByName(spark.createDataFrame(dated, "doc_id long, line_no int, text string")))
