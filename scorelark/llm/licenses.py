@@ -103,10 +103,10 @@ def oracle() -> str:
     values = ", ".join(f"({k}, '{label}', '{text}', {phrase})" for k, (label, text, phrase) in enumerate([(*x, True) for x in PHRASES] + [(*x, False) for x in TEMPLATES]))
     return f"""
 WITH t AS (SELECT tpl, label, string_split(phrase, ' ') AS w, base FROM (VALUES {values}) AS x(tpl, label, phrase, base)),
-tp AS (SELECT tpl, label, base, len(w) - 1 AS size, i AS at, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS i FROM t)),
+tp AS (SELECT tpl, label, base, len(w) - 1 AS size, i AS tpos, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS i FROM t)),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 dp AS (SELECT doc_id, i AS word, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS i FROM d)),
-g AS (SELECT doc_id, tpl, label, base, size, word - at AS diagonal, bit_or(CAST(1 AS BIGINT) << CAST(at AS BIGINT)) AS bits, min(word) AS low, max(word) AS high
+g AS (SELECT doc_id, tpl, label, base, size, word - tpos AS diagonal, bit_or(CAST(1 AS BIGINT) << CAST(tpos AS BIGINT)) AS bits, min(word) AS low, max(word) AS high
       FROM dp JOIN tp USING (a, b) GROUP BY ALL),
 m AS (SELECT *, sum(CASE WHEN before IS NULL OR diagonal - before > {DRIFT} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS span
       FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS before FROM g)),
