@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorelark.functions import lexicons as lx
 from scorelark.functions import text as tx
-from scorelark.operators import impact, layout, scoring, spelling, structure
+from scorelark.operators import competencies, impact, layout, scoring, spelling, structure
 from scorelark.sources.tables import LINES_SQL, table, with_fixture
 
 #: Everyday verbs, a parameter of the operators; these few stand in for it here.
@@ -456,3 +456,45 @@ def affix_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = [(1, 0, "Jun - Aug 2017"), (1, 1, "Sept 2020 - Present"), (1, 2, "Expected May 2027"), (1, 3, "2019"), (1, 4, "Jan 2018 to March 2019, then May 2020"), (1, 5, "no date")]
     return structure.date_spans(_lines(spark, sf_dir).unionByName(spark.createDataFrame(dated, "doc_id long, line_no int, text string")))
+
+
+NAMES = ("analytical", "communication", "leadership", "teamwork", "initiative")
+
+
+@query(f"""WITH {LINES_SQL}, b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM benchmark), terms AS (SELECT term, [{lx.quoted(NAMES)}][length(term) % 5 + 1] AS competency FROM b),
+t AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+&''/-]*')) AS term FROM lines),
+g AS (SELECT doc_id, competency, count(DISTINCT line_no) AS n_lines, count(DISTINCT term) AS n_terms FROM t JOIN terms USING (term) GROUP BY ALL),
+p AS (SELECT *, round_even(6.0::DOUBLE * least(1.0::DOUBLE, n_terms / 5.0::DOUBLE) / 0.5::DOUBLE, 0) * 0.5::DOUBLE AS points FROM g)
+SELECT *, CASE WHEN points >= 5 THEN 'Good Job!' WHEN points >= 2.5 THEN 'On Track!' ELSE 'Needs Work!' END AS status FROM p""")
+def competency_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of four letters or more of the benchmark stand in for the terms, dealt to competencies by their length."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
+    terms = words.select("term", F.element_at(F.array(*map(F.lit, NAMES)), F.length("term") % 5 + 1).alias("competency"))
+    return competencies.points(competencies.found(_lines(spark, sf_dir), terms, 1))
+
+
+PROFILE = [("references", 0), ("ending", 1), ("length", 2)]
+
+
+@query(f"""WITH {LINES_SQL}, {KEPT}, d AS (SELECT doc_id, NOT bool_or(regexp_matches(text, {_q(tx.REFERENCES)})) AS a, bool_and(regexp_matches(text, '[.!?]\\s*$')) OR NOT bool_or(regexp_matches(text, '[.!?]\\s*$')) AS b, count(*) <= 40 AS c FROM kept GROUP BY doc_id)
+SELECT doc_id, 'references' AS name, 0 AS ord, a AS passed FROM d UNION ALL SELECT doc_id, 'ending', 1, b FROM d UNION ALL SELECT doc_id, 'length', 2, c FROM d""")
+def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a document, those of a profile only, in its order."""
+    text = F.col("text")
+    ended = text.rlike(r"[.!?]\s*$")
+    made = impact.kept_lines(_lines(spark, sf_dir)).groupBy("doc_id").agg((~F.bool_or(text.rlike(tx.REFERENCES))).alias("references"), (F.bool_and(ended) | ~F.bool_or(ended)).alias("ending"), (F.count("*") <= 40).alias("length"), F.lit(True).alias("unused"))
+    checks = made.select("doc_id", F.explode(F.create_map(*(x for n in ("references", "ending", "length", "unused") for x in (F.lit(n), F.col(n))))).alias("name", "passed"))
+    return checks.join(F.broadcast(spark.createDataFrame(PROFILE, "name string, ord int")), "name").select("doc_id", "name", "ord", "passed")
+
+
+@query(f"WITH {CARD_SQL} SELECT doc_id, printf('%5.1f', overall) || ' ' || repeat('#', CAST(floor(overall / 5) AS INTEGER)) || repeat('.', 20 - CAST(floor(overall / 5) AS INTEGER)) || ' ' || zone AS line FROM cards")
+def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = F.floor(F.col("overall") / 5).cast("int")
+    return scorecard(spark, sf_dir).select("doc_id", F.concat(F.format_string("%5.1f", "overall"), F.lit(" "), F.repeat(F.lit("#"), filled), F.repeat(F.lit("."), 20 - filled), F.lit(" "), F.col("zone")).alias("line"))
+
+
+@query(f"SELECT name, n, mean, stdev, median, min, max FROM ({ORACLES['cohort_stats']})")
+def public_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a cohort that may be shown."""
+    stats = cohort_stats(spark, sf_dir)
+    return stats.select(*(c for c in scoring.PUBLIC if c in stats.columns))

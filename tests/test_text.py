@@ -39,7 +39,7 @@ def test_numbers(spark):
 def test_tools_and_avoided(spark):
     assert each(spark, ["Built it in Python and SQL", "Dashboards in Tableau", "scripted"], tx.tools) == [["python", "sql"], ["tableau"], []]
     assert each(spark, ["Successfully helped with various tasks as needed", "MY PLAN", "the team and the rest"], tx.filler_count) == [2, 0, 2]
-    assert each(spark, ["MY PLAN", "MY plan", "I am here", "it is"], tx.pronoun_count) == [0, 1, 1, 0]
+    assert each(spark, ["MY PLAN", "MY plan", "I am here", "it is"], tx.pronoun_count) == [0, 1, 2, 0]
 
 
 def test_headings(spark):
@@ -109,3 +109,12 @@ def test_lexicon_files_and_stream(spark, tmp_path):
     run.awaitTermination(60)
     assert [(r.n_lines, r.n_words) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(2, 7)]
     assert tables.text_folder(spark, f"file://{tmp_path}/in").count() == 2
+
+
+def test_competencies_count_distinct_terms(spark):
+    from scorelark.operators import competencies
+
+    lines = spark.createDataFrame([(1, 0, "Led the team and led a machine learning project"), (1, 1, "C++ and machine learning"), (2, 0, "")], "doc_id long, line_no int, text string")
+    terms = spark.createDataFrame([("led", "leadership"), ("machine learning", "analytical"), ("c++", "analytical"), ("sql", "analytical")], "term string, competency string")
+    got = {r.competency: (r.n_lines, r.n_terms, r.points) for r in competencies.points(competencies.found(lines, terms)).collect()}
+    assert got == {"leadership": (1, 1, 1.0), "analytical": (2, 2, 2.5)}
