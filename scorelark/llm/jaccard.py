@@ -53,7 +53,7 @@ SHARE, SHARE_OF = 80, 100
 #: Shingles that a task holds before it hands them on, and documents whose shingles one range of keys takes on average.
 FLUSH, RANGE_DOCS = 1 << 20, 1 << 13
 KEY_BITS = 48
-#: Pairs of nodes that are tried first for two components; all others follow.
+#: Pairs of groups that are tried first for two components; all others follow.
 FIRST_TRIES = 8
 #: Bits of the bitmap of shingles that occur again (of ``AGAIN`` times, or more if too many do), and slots of the table of common ones.
 MAP_BITS, SLOT_BITS = 28, 22
@@ -284,6 +284,32 @@ def _meeting(heads: DataFrame, members: DataFrame, of: DataFrame) -> _Met:
     return _Met(placed, within, open_tokens, x.join(y, "token").where(sized).select("token", "c_a", "c_b"))
 
 
+def _pairs(met: _Met, few: bool) -> DataFrame:
+    """(a, b): nodes of different components that share a shingle of a prefix and may link.
+
+    With ``few``, of two components at a shingle only ``FIRST_TRIES`` groups on either side, and one node of a group.
+    """
+    side = met.open
+    if few:
+        some = Window.partitionBy("token", "comp").orderBy("odd", F.xxhash64("token", "grp"))
+        side = side.withColumn("k", F.row_number().over(some)).where(F.col("k") <= FIRST_TRIES)
+    left, right = (side.select("token", F.col("grp").alias(f"g_{s}"), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
+    compatible = (SHARE_OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & _enough("n_a", "n_b")
+    pairs = met.meeting.join(left, ["token", "c_a"]).join(right, ["token", "c_b"]).where(compatible).select("g_a", "c_a", "g_b", "c_b").distinct()
+    if few:
+        some = Window.partitionBy("c_a", "c_b").orderBy(F.xxhash64("g_a", "g_b"))
+        pairs = pairs.withColumn("k", F.row_number().over(some)).where(F.col("k") <= FIRST_TRIES).drop("k")
+        nodes = met.placed.groupBy("grp", "comp").agg(F.min("sid").alias("sid"))
+    else:
+        # and the nodes of one group, if it is split itself
+        split = met.within.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
+        inside = met.within.join(split, "grp", "left_semi")
+        pairs = pairs.unionByName(inside.select(F.col("grp").alias("g_a"), F.col("comp").alias("c_a")).join(inside.select(F.col("grp").alias("g_b"), F.col("comp").alias("c_b")), F.col("g_a") == F.col("g_b")).where("c_a < c_b").select("g_a", "c_a", "g_b", "c_b")).distinct()
+        nodes = met.placed
+    first, second = (nodes.select(F.col("sid").alias(s), F.col("grp").alias(f"g_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
+    return pairs.join(first, ["g_a", "c_a"]).join(second, ["g_b", "c_b"]).select("a", "b").distinct()
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
     rows = kept(prefixes(docs, rarity(docs, text_col), id_col, text_col), "prefixes")
@@ -302,24 +328,11 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = kept(_verified(star, nodes), "links")
     of = kept(components(edges), "components")
 
-    met = _meeting(heads, members, of)
-    left, right = (met.open.select("token", F.col("grp").alias(f"g_{s}"), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
-    compatible = (SHARE_OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & _enough("n_a", "n_b")
-    pairs = met.meeting.join(left, ["token", "c_a"]).join(right, ["token", "c_b"]).where(compatible).select("g_a", "c_a", "g_b", "c_b").distinct()
-    # nodes of one group, if it is split itself
-    split = met.within.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    inside = met.within.join(split, "grp", "left_semi")
-    pairs = pairs.unionByName(inside.select(F.col("grp").alias("g_a"), F.col("comp").alias("c_a")).join(inside.select(F.col("grp").alias("g_b"), F.col("comp").alias("c_b")), F.col("g_a") == F.col("g_b")).where("c_a < c_b").select("g_a", "c_a", "g_b", "c_b")).distinct()
-    first, second = (met.placed.select(F.col("sid").alias(s), F.col("grp").alias(f"g_{s}"), F.col("comp").alias(f"c_{s}")) for s in "ab")
-    rest = kept(pairs.join(first, ["g_a", "c_a"]).join(second, ["g_b", "c_b"]).select("a", "b", "c_a", "c_b").distinct(), "pairs")
-    # a few pairs of two components join most that belong together; then all pairs that still lie apart
-    some = Window.partitionBy("c_a", "c_b").orderBy(F.xxhash64("a", "b"))
-    for pairs in (rest.withColumn("k", F.row_number().over(some)).where(F.col("k") <= FIRST_TRIES), rest):
-        apart = pairs.select("a", "b")
-        for s in "ab":
-            apart = apart.join(of.select(F.col("node").alias(s), F.col("component").alias(f"at_{s}")), s, "left")
-        apart = apart.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
-        more = kept(_verified(apart, nodes), "links")
+    # first a few groups of two components, which joins most that belong together; then all that still lie apart
+    for few in (True, False):
+        met = _meeting(heads, members, of)
+        rest = kept(_pairs(met, few), "pairs")
+        more = kept(_verified(rest, nodes), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             of = kept(components(edges), "components")
