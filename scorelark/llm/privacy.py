@@ -221,11 +221,11 @@ PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "
 
 
 def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
-    """Each span becomes its placeholder; of overlapping spans the first, then the longest."""
+    """Each span becomes its placeholder; of overlapping spans the first, then the longest, then what the others hold beyond."""
     out, at = [], 0
     for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if start >= at:
-            out += [text[at:start], PUT[kind]]
+        if end > at:
+            out += [text[at : max(at, start)], PUT[kind]]
             at = end
     return "".join([*out, text[at:]])
 

@@ -78,3 +78,15 @@ def test_sanitise_keeps_rows_and_columns(spark):
 def test_empty(spark):
     assert privacy.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert privacy.sanitise(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rewrite_leaves_no_character_of_any_span():
+    for text in ("from 10.0.0.4 111 1111 1111 1111", "a@b.com-4111 1111 1111 1111"):
+        spans = privacy.base_spans(text)
+        assert len({k for k, _, _ in spans}) >= 2 and "1111" not in privacy.rewrite(text, [(a, b, k) for k, a, b in spans])
+    rng = random.Random(5)
+    for _ in range(1000):
+        text = "".join(chr(0x4E00 + i) for i in range(30))
+        spans = [(a, a + rng.randint(1, 12), rng.choice(list(privacy.PUT))) for a in rng.sample(range(18), rng.randint(0, 5))]
+        left = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b, _ in spans))
+        assert re.sub(r"\[[A-Z]+\]", "", privacy.rewrite(text, spans)) == left
