@@ -2,20 +2,23 @@
 
 Direct identifiers (e-mail and network addresses, card and phone numbers) are
 found by form. Then the corpus tells which other terms give them away: for a
-protected value e and a term t beside it, the pointwise mutual information
-log2(c(e,t) N / (c(e) c(t))), with document counts c over all N documents, is
-compared with the information content log2(N / c(e)) of the value. A share of
-``REMOVE`` or more means that the term all but names the value, and it goes; a
-share of ``GENERALISE`` or more, that it narrows it down, and it is replaced by
-a general word. Estimates rest on at least ``SUPPORT`` different surroundings,
-so copies of one text are no evidence.
-
-The corpus is read three times at most: for the identifiers and the words
-beside them, for the counts of the candidate terms, and, to rewrite texts, once
-more. What the executors get is a bitmap of fixed size that says which words
-may be candidates; exact counts are joined. Offsets are code points, ends are
-exclusive. A null text counts as an empty one (and stays null when rewritten);
-repeated rows each give their row; extra columns stay as they are.
+protected value e and a term t anywhere in the same text, the pointwise mutual
+information log2(c(e,t) N / (c(e) c(t))), with document counts c over all N
+documents, is compared with the information content log2(N / c(e)) of the
+value. A share of ``REMOVE`` or more means that the term all but names the
+value, and it goes; a share of ``GENERALISE`` or more, that it narrows it down,
+and it is replaced by a general word: at every place, in every document.
+Estimates rest on at least ``SUPPORT`` different texts, so copies of one text
+are no evidence.
+
+The corpus is read for the identifiers, for the words of the texts whose values
+have the support, for the counts of these words, and to mark or rewrite. Only
+words rare enough to reach the share, by their exact counts, are paired with
+values. What the executors get is bitmaps of fixed size that say which texts
+and words may count, and shares of the disclosing terms; exact counts are
+joined. Offsets are code points, ends are exclusive. A null text counts as an
+empty one (and stays null when rewritten); repeated rows each give their row;
+extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,13 +38,13 @@ from scorelark.llm.common import Stretches, kept
 
 KINDS = ("email", "ip", "card", "phone")
 TERMS = ("term", "hint")
-#: Words on either side of a value that count as beside it, and the characters in which they are sought.
-BESIDE_WORDS, BESIDE_CHARS = 6, 160
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Bits of the bitmap of candidate terms.
+#: Bits of the bitmaps of texts and of candidate terms.
 BITMAP_BITS = 1 << 22
 #: Terms that a task counts before it hands them on.
 TERMS_HELD = 1 << 17
+#: Disclosing terms that are sent at once.
+TERMS_SENT = 1 << 18
 
 EMAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,82 +96,85 @@ def value_key(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def beside(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """The words next to a value: (term, start, end). Words that the stretch cuts are left out."""
-    low, high = max(0, start - BESIDE_CHARS), min(len(text), end + BESIDE_CHARS)
-    left = [m for m in WORD.finditer(text, low, start) if m.end() < start and (m.start() > low or low == 0)]
-    right = [m for m in WORD.finditer(text, end, high) if m.start() > end and (m.end() < high or high == len(text))]
-    return [(m.group().translate(LOWER), *m.span()) for m in left[-BESIDE_WORDS:] + right[:BESIDE_WORDS] if m.end() - m.start() >= 3]
+def words_outside(text: str, spans: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """All words that no identifier touches: (term, start, end)."""
+    hidden = Stretches((a, b) for _, a, b in spans)
+    for m in WORD.finditer(text):
+        if not hidden.meets(*m.span()):
+            yield m.group().translate(LOWER), m.start(), m.end()
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
-SPAN = "struct<start:long,ord:int,end:long,kind:string>"
-BESIDE = "struct<value:long,term:string,start:long,end:long,around:long,first:boolean>"
-SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("end", pa.int64()), ("kind", pa.string())]))
-BESIDE_TYPE = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("around", pa.int64()), ("first", pa.bool_())]))
+MARK = "struct<start:long,end:long,kind:string>"
+MARKS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
-def _read_one(text: str) -> tuple[list, list]:
-    base = base_spans(text)
-    hidden = Stretches((a, b) for _, a, b in base)
-    words, seen = [], set()
-    for kind, a, b in base:
-        value = value_key(kind, text[a:b])
-        near = [x for x in beside(text, a, b) if not hidden.meets(x[1], x[2])]
-        around = zlib.crc32(" ".join(x[0] for x in near).encode())
-        for term, s, e in near:
-            words.append({"value": value, "term": term, "start": s, "end": e, "around": around, "first": (value, term) not in seen})
-            seen.add((value, term))
-    return base, words
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
 
 
-def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: keys ``k1`` and ``k2`` of id and text, counts, ``base_sha256``, ``base`` spans, ``words`` beside them."""
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``key``, the hash of a text, and ``text``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                counts, shas, base, words, values = [[] for _ in KINDS], [], [], [], []
-                for text in part.column(3).to_pylist():
-                    found, near = _read_one(text)
-                    for kind, n in zip(KINDS, counts, strict=True):
-                        n.append(sum(x[0] == kind for x in found))
-                    shas.append(hashlib.sha256(joined(found).encode()).hexdigest())
-                    base.append([{"start": a, "ord": KINDS.index(kind), "end": b, "kind": kind} for kind, a, b in found])
-                    words.append(near)
-                    values.append(list({value_key(kind, text[a:b]) for kind, a, b in found}))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(base, SPAN_TYPE), pa.array(words, BESIDE_TYPE), pa.array(values, pa.list_(pa.int64()))], names=[id_col, "k1", "k2", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "words", "values"])
-
-    given = _keyed(docs, id_col, text_col).select(F.col(id_col), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, k1 long, k2 long, {counts}, base_sha256 string, base array<{SPAN}>, words array<{BESIDE}>, values array<long>")
 
+def _slot(term: str):
+    return F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(BITMAP_BITS))
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"__k1": F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("row")), "__k2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
-
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame | None:
-    """(value, term, kind) of terms that disclose a protected value; None if no pair has the support."""
-    spark = docs.sparkSession
-    near = found.select(F.explode("words").alias("w")).select("w.*")
-    pairs = near.groupBy("value", "term").agg(F.sum(F.col("first").cast("long")).alias("n_both"), F.count_distinct("around").alias("surroundings")).where(F.col("surroundings") >= SUPPORT).drop("surroundings")
-    pairs = kept(pairs, "pairs")
-    # one bit a candidate term, gathered as whole 64-bit words: their number is fixed
-    slot = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(BITMAP_BITS))
-    words = pairs.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("b"))
+def _bitmap(keys: DataFrame, slot) -> bytes | None:
+    """One bit a key, gathered as whole 64-bit words: their number is fixed. None if there are no keys."""
+    words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("b"))
     got = words.toPandas()
     if not len(got):
         return None
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
     bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(bitmap.view(np.uint8).tobytes())
+    return bitmap.view(np.uint8).tobytes()
+
+
+def _holders(docs: DataFrame, text_col: str) -> DataFrame:
+    """(value, key, copies, n_value): the different texts of the values that have the support."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            keys, values = [], []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own = {value_key(kind, text[a:b]) for kind, a, b in base_spans(text)}
+                keys += [key] * len(own)
+                values += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.int64())], names=["key", "value"])
+
+    held = kept(_texts(docs, text_col).mapInArrow(run, "key long, value long").groupBy("value", "key").agg(F.count("*").alias("copies")), "values")
+    live = held.groupBy("value").agg(F.sum("copies").alias("n_value"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    return kept(held.join(live, "value"), "holders")
 
-    def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _terms_of(docs: DataFrame, text_col: str, bits: bytes) -> DataFrame:
+    """(key, terms): the different words outside identifiers of each text that ``bits`` may have."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = sent.value, BITMAP_BITS - 1
+        for part in _parts(batches):
+            part = part.filter(pa.array([bool(bits[(s := key & mask) >> 3] >> (s & 7) & 1) for key in part.column(0).to_pylist()], pa.bool_()))
+            terms = [sorted({w for w, _, _ in words_outside(text, base_spans(text))}) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(terms, pa.list_(pa.string()))], names=["key", "terms"])
+
+    return _texts(docs, text_col).mapInArrow(run, "key long, terms array<string>").groupBy("key").agg(F.first("terms").alias("terms"))
+
+
+def _counts(docs: DataFrame, text_col: str, bits: bytes) -> DataFrame:
+    """(term, n_term): documents that hold a term, of the terms that ``bits`` may have."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, crc, mask = sent.value, zlib.crc32, BITMAP_BITS - 1
         counts: Counter[bytes] = Counter()
 
@@ -180,41 +186,106 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 counts.update(word for word in set(data.translate(FOLD).split()) if bits[(s := crc(word) & mask) >> 3] >> (s & 7) & 1)
-            if len(counts) > TERMS_HELD:
-                yield handed()
+                if len(counts) > TERMS_HELD:
+                    yield handed()
         yield handed()
 
     texts = docs.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("data"))
-    by_term = texts.mapInArrow(terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    by_value = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    total = F.lit(float(found.count()))
+    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
+    """(term, kind) of terms that disclose some protected value; None if no value has the support."""
+    live = _holders(docs, text_col)
+    bits = _bitmap(live, F.pmod("key", F.lit(BITMAP_BITS)))
+    if bits is None:
+        return None
+    texts = kept(_terms_of(docs, text_col, bits), "terms")
+    bits = _bitmap(texts.select(F.explode("terms").alias("term")).distinct(), _slot("term"))
+    if bits is None:
+        return None
+    total = float(docs.count())
+
+    # n_both is at most n_value, so a term in more documents than this has no share of GENERALISE
+    def most(n):
+        return total ** (1 - GENERALISE) * F.pow(n, F.lit(GENERALISE)) + 1e-6
+
+    widest = live.agg(F.max("n_value")).first()[0]
+    rare = kept(_counts(docs, text_col, bits).where(F.col("n_term").between(F.lit(SUPPORT), most(F.lit(float(widest))))), "counts")
+    bits = _bitmap(rare, _slot("term"))
+    if bits is None:
+        return None
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, crc, mask = sent.value, zlib.crc32, BITMAP_BITS - 1
+        for part in _parts(batches):
+            keys, terms = [], []
+            for key, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = [w for w in words if bits[(s := crc(w.encode()) & mask) >> 3] >> (s & 7) & 1]
+                keys += [key] * len(words)
+                terms += words
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string())], names=["key", "term"])
+
+    held = texts.mapInArrow(run, "key long, term string").join(rare, "term")
+    pairs = held.join(live, "key").where(F.col("n_term") <= most(F.col("n_value"))).groupBy("value", "term", "n_value", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     told = F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term")))
     content = F.log2(total / F.col("n_value"))
-    share = pairs.join(by_term, "term").join(by_value, "value").withColumn("share", F.when(content > 0, told / content))
-    return share.where(F.col("share") >= GENERALISE).select("value", "term", F.when(F.col("share") >= REMOVE, "term").otherwise("hint").alias("kind"))
+    share = pairs.withColumn("share", F.when(content > 0, told / content)).groupBy("term").agg(F.max("share").alias("share"))
+    return share.where(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, TERMS[0]).otherwise(TERMS[1]).alias("kind"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame | None:
-    """Spans of disclosing terms: ``k1``, ``k2``, ``extra`` (distinct spans)."""
-    terms = disclosing(docs, found, text_col)
+def marked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns, and ``__marks``: every place, in any document, of a term that discloses a protected value. Terms are sent in shares of ``TERMS_SENT``."""
+    out = docs.withColumn("__marks", F.array().cast(f"array<{MARK}>"))
+    terms = disclosing(docs, text_col)
     if terms is None:
-        return None
-    near = found.select("k1", "k2", F.explode("words").alias("w")).select("k1", "k2", "w.value", "w.term", "w.start", "w.end")
-    order = F.when(F.col("kind") == "term", len(KINDS)).otherwise(len(KINDS) + 1).cast("int")
-    hits = near.join(terms, ["value", "term"]).select("k1", "k2", F.struct("start", order.alias("ord"), "end", "kind").alias("span"))
-    return hits.groupBy("k1", "k2").agg(F.collect_set("span").alias("extra"))
+        return out
+    at, names, schema = docs.columns.index(text_col), out.columns, out.schema
+
+    def one(given: DataFrame, share: dict[bytes, str]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(share)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = sent.value
+            of, none = {k.decode(): kind for k, kind in kinds.items()}, kinds.keys()
+            for part in _parts(batches):
+                marks = []
+                for text, more in zip(part.column(at).to_pylist(), part.column(len(names) - 1).to_pylist(), strict=True):
+                    if text and not none.isdisjoint(text.encode().translate(FOLD).split()):
+                        more = more + [{"start": a, "end": b, "kind": of[w]} for w, a, b in words_outside(text, base_spans(text)) if w in of]
+                    marks.append(more)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(marks, MARKS_TYPE)], names=names)
+
+        return given.mapInArrow(run, schema)
+
+    share: dict[bytes, str] = {}
+    for row in kept(terms, "disclosing").toLocalIterator():
+        share[row.term.encode()] = row.kind
+        if len(share) >= TERMS_SENT:
+            out, share = one(out, share), {}
+    return one(out, share) if share else out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``."""
-    found = kept(identifiers(docs, id_col, text_col), "identifiers")
-    extra = term_spans(docs, found, text_col)
-    every = F.col("base")
-    if extra is not None:
-        found = found.join(extra, ["k1", "k2"], "left")
-        every = F.concat("base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
-    spans = F.array_join(F.transform(F.array_sort(every), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select(id_col, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
+    order = KINDS + TERMS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            counts, shas, spans = [[] for _ in KINDS], [], []
+            for text, more in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                base = base_spans(text)
+                for kind, n in zip(KINDS, counts, strict=True):
+                    n.append(sum(x[0] == kind for x in base))
+                shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                every = sorted([(a, order.index(kind), b) for kind, a, b in base] + [(x["start"], order.index(x["kind"]), x["end"]) for x in more])
+                spans.append(",".join(f"{order[k]}:{a}:{b}" for a, k, b in every))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    given = marked(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
 
 
 PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "hint": "[GENERAL]"}
@@ -232,27 +303,16 @@ def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with the identifiers and the disclosing terms out of the text."""
-    found = kept(identifiers(docs, id_col, text_col), "identifiers")
-    extra = term_spans(docs, found, text_col)
-    keyed = _keyed(docs, id_col, text_col)
-    if extra is None:
-        ready = keyed.withColumn("__extra", F.array().cast(f"array<{SPAN}>"))
-    else:
-        extra = extra.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "extra": "__extra"})
-        ready = keyed.join(extra, ["__k1", "__k2"], "left")
-    ready = ready.select(*docs.columns, "__extra")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = []
-                for text, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
-                    spans = [] if text is None else [(a, b, kind) for kind, a, b in base_spans(text)] + [(x["start"], x["end"], x["kind"]) for x in more or []]
-                    texts.append(rewrite(text, spans) if spans else text)
-                columns = list(part.columns[: len(names)])
-                columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return ready.mapInArrow(run, docs.schema)
+        for part in _parts(batches):
+            texts = []
+            for text, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                spans = [] if text is None else [(a, b, kind) for kind, a, b in base_spans(text)] + [(x["start"], x["end"], x["kind"]) for x in more]
+                texts.append(rewrite(text, spans) if spans else text)
+            columns = list(part.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked(docs, text_col).mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -90,3 +91,45 @@ def test_rewrite_leaves_no_character_of_any_span():
         spans = [(a, a + rng.randint(1, 12), rng.choice(list(privacy.PUT))) for a in rng.sample(range(18), rng.randint(0, 5))]
         left = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b, _ in spans))
         assert re.sub(r"\[[A-Z]+\]", "", privacy.rewrite(text, spans)) == left
+
+
+def test_terms_disclose_from_afar_and_go_everywhere(spark, monkeypatch):
+    far = "the cold dark northern sea by the old grey stone harbour wall " * 4
+    given = [(i, f"note {i} word{i} and more text here number{i} {far}", None, None) for i in range(60)]
+    given += [(100 + i, f"Filler{i} met Zanzibar and Bo there. {far} wrote to jim@ship.example.com on day{i}. {far} Zanzibar left", None, None) for i in range(5)]
+    given += [(200, "Zanzibar alone, without an address", None, None), (201, "nobody", None, None)]
+    frame = spark.createDataFrame(given, SCHEMA)
+    for held in (1 << 18, 2):
+        monkeypatch.setattr(privacy, "TERMS_SENT", held)
+        texts = {r.doc_id: r.text for r in privacy.sanitise(frame).collect()}
+        assert len(texts) == len(given) and all(texts[i] == given[i][1] for i in range(60))
+        for i in (*range(100, 105), 200):
+            assert "Zanzibar" not in texts[i] and "Bo " not in texts[i]
+        assert "northern sea" in texts[100] and texts[100].count("[REMOVED]") >= 3
+        spans = {r.doc_id: r.spans for r in privacy.scan(frame).collect()}
+        assert spans[200].split(",")[0].endswith(":0:8") and spans[201] == ""
+
+
+def test_disclosing_terms_are_those_of_the_counts(spark):
+    rng = random.Random(7)
+    given = []
+    for i in range(300):
+        words = [rng.choice(["a", "of", *(f"w{k}" for k in range(200))]) for _ in range(rng.randint(0, 25))]
+        words += [x for v in range(6) if rng.random() < 0.03 for x in (f"m{v}@x.example.com", *(f"n{v}{k}" for k in range(3) if rng.random() < 0.9))]
+        rng.shuffle(words)
+        given += [(i, " ".join(words), None, None)] * rng.choice([1, 1, 1, 3])
+    texts = [t for _, t, _, _ in given]
+    base = {t: privacy.base_spans(t) for t in texts}
+    values = {t: {privacy.value_key(k, t[a:b]) for k, a, b in base[t]} for t in texts}
+    outside = {t: {w for w, _, _ in privacy.words_outside(t, base[t])} for t in texts}
+    every = {t: {w.lower() for w in re.findall("[0-9A-Za-z]+", t)} for t in texts}
+    want, n = {}, len(texts)
+    for v in set().union(*values.values()):
+        holders = [t for t in texts if v in values[t]]
+        for w in set().union(*(outside[t] for t in holders)):
+            both = [t for t in holders if w in outside[t]]
+            share = math.log2(len(both) * n / (len(holders) * sum(w in every[t] for t in texts))) / math.log2(n / len(holders))
+            if len(set(both)) >= privacy.SUPPORT and share >= privacy.GENERALISE:
+                want[w] = max(want.get(w, 0), share)
+    got = {r.term: r.kind for r in privacy.disclosing(spark.createDataFrame(given, SCHEMA)).collect()}
+    assert got == {w: "term" if share >= privacy.REMOVE else "hint" for w, share in want.items()} and len(got) > 5
