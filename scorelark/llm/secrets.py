@@ -3,11 +3,13 @@
 Plain secrets (assignments, access identifiers, long hexadecimal runs) are
 reported wherever they stand. Besides, weak parts are collected that mean
 nothing alone: key identifiers, opaque words that look drawn at random, and
-endpoints with a host. Within a scope, a stretch of neighbouring lines, the
-parts of the three roles are interval-joined by distance: a weak part is
-reported only if parts of both other roles, weak or plain, stand within
-``REACH`` characters of it. The join takes no pairs: a part asks the sorted
-intervals of each other role whether one of them meets its surroundings.
+endpoints with a host. They are joined within a scope, a stretch of neighbouring
+lines. An identifier and a secret that its name tells are a credential, with or
+without an endpoint, wherever they stand in the scope; endpoints of the scope
+belong to it. A bare opaque word is weaker: it needs an access identifier, or
+an identifier and an endpoint, in the same chain of parts, each within ``REACH``
+characters of the next. The join takes no pairs: a part asks each scope and
+chain for the first end and the last start of the other role.
 
 A scope never leaves its text, so the join runs where the text is read, with no
 shuffle. Offsets are code points; ends are exclusive. A null text counts as an
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scorelark.llm.common import Stretches
 
-#: Characters between parts that belong together, and blank lines in a row that end a scope.
+#: Characters from part to part of a chain with a bare opaque word, and blank lines in a row that end a scope.
 REACH, SCOPE_BREAK = 400, re.compile(r"\n[ \t\r]*\n[ \t\r\n]*\n")
 KINDS = ("assign", "access", "hex")
 LINKED = ("key_id", "opaque", "endpoint")
@@ -39,9 +41,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer fails, and nothing in it ca
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Roles of the plain kinds in a credential.
 ROLE = {"access": "id", "assign": "secret", "hex": "secret", "key_id": "id", "opaque": "secret", "endpoint": "endpoint"}
-KEY_ID = re.compile(r"""(?ai)\b(?:client|account|tenant|user|access|key)[_-]?(?:id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,64})(?![A-Za-z0-9_.@-])""")
+KEY_ID = re.compile(r"""(?ai)(?<![a-z0-9])(?<!secret[_-])(?:client|account|tenant|user|access|key|access[_-]?key)[_-]?(id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,64})(?![A-Za-z0-9_.@-])""")
 ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[a-z0-9.-]{3,100}(?::[0-9]{1,5})?""")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+HOST = re.compile(r"""(?ai)(?<![a-z0-9])(host(?:[_-]?name)?|server|endpoint|domain|ur[il])["']?\x20*[:=]\x20*["']?([a-z0-9-]++(?:\.[a-z0-9-]++)*+(?::[0-9]{1,5}+)?+)(?!:?//)""")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: What stands before a secret with a name, and in how many characters it is sought.
+NAMED, NAME_CHARS = re.compile(r"""(?ai)(?:secret|token|pass|pwd|cred|auth|sig|key)[a-z0-9_-]*+["']?\x20*[:=]\x20*["']?\Z"""), 200
 #: Bits a character that an opaque word has at least.
 OPAQUE_BITS = 3.5
 
@@ -63,36 +68,79 @@ def bits_a_character(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in map(word.count, set(word)))
 
 
-def weak_parts(text: str) -> list[tuple[str, int, int]]:
-    """Endpoints, key identifiers and opaque words. A text without an endpoint can't complete a credential and gives none."""
-    if "://" not in text:
-        return []
-    ends = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    if not ends:
+def endpoints(text: str) -> list[tuple[str, int, int]]:
+    out = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    taken = Stretches((a, b) for _, a, b in out)
+    hosts = (m for m in HOST.finditer(text) if m.group(1).lower().startswith("host") or "." in m.group(2) or ":" in m.group(2) or m.group(2).lower() == "localhost")
+    return out + [("endpoint", *m.span(2)) for m in hosts if not taken.meets(*m.span(2))]
+
+
+def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Endpoints, key identifiers and opaque words. A text without an identifier can't complete a credential and gives none."""
+    hidden = Stretches((a, b) for _, a, b in base)
+    keys = [m for m in KEY_ID.finditer(text) if not hidden.meets(*m.span(2))] if "=" in text or ":" in text else []
+    if not keys and not any(ROLE[kind] == "id" for kind, _, _ in base):
         return []
-    ids = [("key_id", *m.span(1)) for m in KEY_ID.finditer(text)]
-    opaque = [("opaque", *m.span()) for m in OPAQUE.finditer(text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and bits_a_character(m.group()) >= OPAQUE_BITS]
-    return ends + ids + opaque
+    ends = endpoints(text)
+    hosts = Stretches((a, b) for _, a, b in ends)
+    keys = [m for m in keys if not hosts.meets(*m.span(2))]
+    # a value named *_key may be either; one named *_id or *_name is no secret
+    taken = Stretches([(a, b) for _, a, b in base + ends] + [m.span(2) for m in keys if m.group(1).lower() != "key"])
+    opaque = [m for m in OPAQUE.finditer(text) if not taken.meets(*m.span()) and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and bits_a_character(m.group()) >= OPAQUE_BITS]
+    return ends + [("key_id", *m.span(2)) for m in keys] + [("opaque", *m.span()) for m in opaque]
+
+
+class Roles:
+    """The parts of one scope or chain: by role, the first end and the last start, so that another part than one's own is found at once."""
+
+    def __init__(self):
+        self.of: dict[str, tuple[int, int]] = {}
+
+    def add(self, role: str, a: int, b: int) -> None:
+        end, start = self.of.get(role, (b, a))
+        self.of[role] = min(end, b), max(start, a)
+
+    def beside(self, role: str, a: int, b: int) -> bool:
+        """Whether a part of the role stands clear of this one."""
+        return role in self.of and (self.of[role][0] <= a or self.of[role][1] >= b)
+
+    def both(self, one: str, other: str) -> bool:
+        return one in self.of and other in self.of and (self.of[one][0] <= self.of[other][1] or self.of[other][0] <= self.of[one][1])
 
 
 def linked(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The weak parts that a complete credential holds: all three roles within reach in one scope."""
-    weak = weak_parts(text)
+    """The weak parts that credentials hold."""
+    weak = weak_parts(text, base)
     if not weak:
         return []
-    taken = Stretches([(a, b) for _, a, b in base] + [(a, b) for kind, a, b in weak if kind == "endpoint"])
-    weak = [x for x in weak if x[0] == "endpoint" or not taken.meets(x[1], x[2])]
     cuts = [m.start() for m in SCOPE_BREAK.finditer(text)]
-    scoped: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    for kind, a, b in base + weak:
-        scoped.setdefault((bisect_right(cuts, a), ROLE[kind]), []).append((a, b))
-    parts, none = {key: Stretches(spans) for key, spans in scoped.items()}, Stretches([])
-
-    def complete(kind: str, a: int, b: int) -> bool:
-        scope = bisect_right(cuts, a)
-        return all(parts.get((scope, role), none).meets(a - REACH, b + REACH) for role in ("id", "secret", "endpoint") if role != ROLE[kind])
-
-    return [(kind, a, b) for kind, a, b in weak if complete(kind, a, b)]
+    scopes, placed = {}, []
+    chain, last, upto = Roles(), -1, 0
+    for kind, a, b in sorted(base + weak, key=lambda x: x[1]):
+        scope, role = bisect_right(cuts, a), ROLE[kind]
+        if scope != last or a - upto >= REACH:
+            chain, upto = Roles(), 0
+        last, upto = scope, max(upto, b)
+        named = kind == "assign" or role == "secret" and NAMED.search(text, max(0, a - NAME_CHARS), a) is not None
+        whole = scopes.setdefault(scope, Roles())
+        for roles in (whole, chain):
+            roles.add(role, a, b)
+            if named:
+                roles.add("named", a, b)
+            if kind == "access":
+                roles.add("access", a, b)
+        placed.append((kind, a, b, named, whole, chain))
+
+    def complete(kind: str, a: int, b: int, named: bool, whole: Roles, chain: Roles) -> bool:
+        near = "endpoint" in chain.of
+        if kind == "key_id":
+            return whole.beside("named", a, b) or near and chain.beside("secret", a, b)
+        if kind == "opaque":
+            return named and whole.beside("id", a, b) or "access" in chain.of or near and chain.beside("id", a, b)
+        return whole.both("id", "named") or chain.both("id", "secret")
+
+    given = set(weak)
+    return [x[:3] for x in placed if x[:3] in given and complete(*x)]
 
 
 def joined(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> str:
