@@ -41,10 +41,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer fails, and nothing in it ca
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Roles of the plain kinds in a credential.
 ROLE = {"access": "id", "assign": "secret", "hex": "secret", "key_id": "id", "opaque": "secret", "endpoint": "endpoint"}
-KEY_ID = re.compile(r"""(?ai)(?<![a-z0-9])(?<!secret[_-])(?:client|account|tenant|user|access|key|access[_-]?key)[_-]?(id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,64})(?![A-Za-z0-9_.@-])""")
-ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[a-z0-9.-]{3,100}(?::[0-9]{1,5})?""")
+KEY_ID = re.compile(r"""(?ai)(?<![a-z0-9])(?<!secret[_-])(?:client|account|tenant|user|access|key|access[_-]?key)[_-]?(id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,}+)""")
+ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[a-z0-9.-]{3,}+(?::[0-9]{1,5})?""")
 HOST = re.compile(r"""(?ai)(?<![a-z0-9])(host(?:[_-]?name)?|server|endpoint|domain|ur[il])["']?\x20*[:=]\x20*["']?([a-z0-9-]++(?:\.[a-z0-9-]++)*+(?::[0-9]{1,5}+)?+)(?!:?//)""")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 #: What stands before a secret with a name, and in how many characters it is sought.
 NAMED, NAME_CHARS = re.compile(r"""(?ai)(?:secret|token|pass|pwd|cred|auth|sig|key)[a-z0-9_-]*+["']?\x20*[:=]\x20*["']?\Z"""), 200
 #: Bits a character that an opaque word has at least.

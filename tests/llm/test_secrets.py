@@ -80,3 +80,14 @@ def test_identifier_and_secret_need_no_endpoint():
     assert values(f"host = db.example.com\nclient_id = crew42\n{secret}") == ["db.example.com", "crew42", secret]
     assert values(f"access_key = {secret}") == values(f"client_id = {secret}") == values(f"client_id = {secret}\nhttps://a.example.com") == []
     assert values("client_id = crew42\n\n\nclient_secret = abcdefgh12") == []
+
+
+def test_parts_of_any_length_at_any_place_of_the_scope():
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(3000))
+    google = f"123456789012-{word[:32]}.apps.googleusercontent.com"
+    for size in (128, 129, 1000, 3000):
+        assert values(f"client_id = {google}\nrefresh_key = {word[:size]}") == [google, word[:size]]
+        assert values(f"https://a.example.com\n{word[:size]}\nclient_id = {google}") == ["https://a.example.com", word[:size], google]
+    assert values(f"client_id = {google}\n# {'so it goes ' * 200}\nclient_secret = abcdefgh12") == [google]
+    secrets.linked("client_id = crew42\n" + "a1" * 500_000 + "." * 9 + "=" * 500_000 + "key" * 100_000, [])
