@@ -10,11 +10,15 @@ the text score at least what any window in it scores, and so do the terms'
 largest impacts, summed over a window. For windows that pass, the WAND pivot
 moves through the lists and skips blocks whose largest impacts can't reach it.
 
-Retrieved pairs are verified on the whole text. An item is a question and an
-answer: the answer is its last sentence, or the last third of its words if it
-has one sentence. It leaks if five-word shingles of the question and of the
-answer both overlap the text, and the text holds at least ``SAME`` of all
-shingles of the item.
+An item is a question and an answer: the answer is its last sentence, or the last
+third of its words if it has one sentence. A retrieved pair is verified near the
+passages that retrieved it, as far on either side as the item is long: words of
+the item count if they stand there next to, or one word from, the same neighbour
+as in the item, so an edited word costs one or two words and not five shingles.
+The item leaks if ``HALF`` of the question's and of the answer's words count; if
+it has one sentence, whose answer is a guess, ``HALF`` of all its words will do.
+It leaks as well if the whole text holds ``SAME`` of its five-word shingles, and
+some of both parts, wherever they stand.
 
 The index is broadcast only up to ``INDEX_POSTINGS`` postings; more items are
 taken in shares, each of which reads the documents. A document's text is read
@@ -38,8 +42,8 @@ K1, B = 1.2, 0.75
 PASSAGE, STRIDE, ENTRY, SHINGLE = 64, 32, 32, 5
 #: Words that one bound is taken for; the next segment begins so far on that no window is cut.
 SEGMENT = 512
-#: Share of an entry's own score that retrieves it, and of an item's shingles that verifies it.
-REACH, SAME = 0.6, 0.8
+#: Share of an entry's own score that retrieves it, of an item's shingles that verifies it, and of its words near the passages.
+REACH, SAME, HALF = 0.6, 0.8, 0.5
 BLOCK = 32
 INDEX_POSTINGS = 4_000_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -55,10 +59,24 @@ def shingles(of: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(of[i : i + SHINGLE]) for i in range(len(of) - SHINGLE + 1)} if len(of) >= SHINGLE else ({tuple(of)} if of else set())
 
 
+def held(part: list[bytes], near: list[list[bytes]]) -> float:
+    """The share of the words of ``part`` that stand in a stretch of ``near`` beside, or one word from, the same neighbour."""
+    if len(part) < 2:
+        return float(all(any(w in words for words in near) for w in part))
+    there = {(gap, *pair) for words in near for gap in (1, 2) for pair in zip(words, words[gap:])}
+    found = {k + d for gap in (1, 2) for k, pair in enumerate(zip(part, part[gap:])) if (gap, *pair) in there for d in (0, gap)}
+    return len(found) / len(part)
+
+
+def one_sentence(text: str) -> bool:
+    sentences = SENTENCE.split(text.strip())
+    return len(sentences) < 2 or len(words(sentences[-1])) < SHINGLE
+
+
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item."""
-    sentences = SENTENCE.split(text.strip())
-    if len(sentences) > 1 and len(words(sentences[-1])) >= SHINGLE:
+    if not one_sentence(text):
+        sentences = SENTENCE.split(text.strip())
         return words(" ".join(sentences[:-1])), words(sentences[-1])
     every = words(text)
     cut = max(1, len(every) * 2 // 3)
@@ -68,11 +86,12 @@ def parts(text: str) -> tuple[list[bytes], list[bytes]]:
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, text) for i, text in items if text and words(text)]
-        self.shingles, texts, self.item_of = [], [], []
+        self.shingles, self.parts, texts, self.item_of = [], [], [], []
         for item, (_, text) in enumerate(self.items):
             question, answer = parts(text)
             every = words(text)
             self.shingles.append((shingles(every), shingles(question), shingles(answer)))
+            self.parts.append((every, question, answer, one_sentence(text)))
             n = -(-len(every) // ENTRY)
             texts += [every[len(every) * k // n : len(every) * (k + 1) // n] for k in range(n)]
             self.item_of += [item] * n
@@ -160,12 +179,24 @@ class ItemIndex:
             cursors = moved + cursors[pivot + 1 :]
         return found
 
+    def near(self, tokens: list[bytes], starts: set[int], size: int) -> list[list[bytes]]:
+        """The stretches of the text that lie at most ``size`` words from passages."""
+        out: list[list[int]] = []
+        for start in sorted(starts):
+            low, high = max(0, start - size), start + PASSAGE + size
+            if out and low <= out[-1][1]:
+                out[-1][1] = high
+            else:
+                out.append([low, high])
+        return [tokens[low:high] for low, high in out]
+
     def search(self, data: bytes) -> list[dict]:
         """The leaks in one text: item, its best passage, that passage's score, and the shares of its shingles in the text."""
         tokens = words(data)
         get, none = self.term.get, len(self.term)
         ids = np.fromiter((get(w, none) for w in tokens), np.int64, len(tokens)) if tokens else np.empty(0, np.int64)
         best: dict[int, tuple[float, int]] = {}
+        places: dict[int, set[int]] = defaultdict(set)
         for low in range(0, len(ids) if self.items else 0, SEGMENT):
             segment = ids[low : low + SEGMENT + PASSAGE - STRIDE]
             if not self.segment_reaches(segment):
@@ -174,6 +205,7 @@ class ItemIndex:
                 terms = set(segment[start : start + PASSAGE].tolist()) - {none}
                 for entry, score in self.query(list(terms)):
                     item = self.item_of[entry]
+                    places[item].add(low + start)
                     if score > best.get(item, (0.0, 0))[0]:
                         best[item] = (score, low + start)
         if not best:
@@ -183,7 +215,13 @@ class ItemIndex:
         out = []
         for item, (score, start) in sorted(best.items()):
             whole, question, answer = ((len(s & there) / len(s)) if s else 1.0 for s in self.shingles[item])
-            if whole >= SAME and question > 0 and answer > 0:
+            leaks = whole >= SAME and question > 0 and answer > 0
+            if not leaks:
+                every, *two, single = self.parts[item]
+                near = self.near(tokens, places[item], len(every))
+                q, a = (held(x, near) if x else 1.0 for x in two)
+                leaks = min(q, a) >= HALF or single and held(every, near) >= HALF
+            if leaks:
                 out.append({"item_id": self.items[item][0], "start_word": start, "score": float(score), "overlap": whole, "question_overlap": question, "answer_overlap": answer})
         return out
 

@@ -82,3 +82,23 @@ def test_empty_tables(spark):
     assert leaks.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
     assert leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0
     assert leaks.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == len(docs)
+
+
+def test_edited_and_partly_quoted_items():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of", "and", "in"] * 200
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(n) for n in (9, 15, 25, 28, 40, 60, 300)]
+    two = [[*say(n), ".", *say(m)] for n, m in ((8, 5), (20, 5), (55, 5), (30, 20))]
+    joined = lambda x: " ".join(x).replace(" .", ".")
+    index = leaks.ItemIndex([(k, joined(x)) for k, x in enumerate(items + two)] + [(100 + k, joined(say(30))) for k in range(60)])
+    found = lambda words: {x["item_id"] for x in index.search(joined([*say(200), *words, *say(200)]).encode())}
+    for k, item in enumerate(items + two):
+        assert found(item) == {k}
+        for at in range(len(item)):
+            if item[at] != ".":
+                assert found([*item[:at], "edited", *item[at + 1 :]]) == {k}, (k, at)
+                assert found([*item[:at], "edited", *item[at:]]) == {k}, (k, at)
+    assert all(found(items[6][a : a + 200]) == {6} for a in (0, 50, 100))
+    assert found(two[3][:31]) == set() and found(two[3][10:45]) == {10}
+    assert not any(found(say(300)) for _ in range(20))
