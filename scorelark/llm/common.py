@@ -17,17 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``. Where that is unset, a local session makes its own; a cluster has to name one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir")
-    if not at:
+    if at:
+        return at.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scorelark-"))
         known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        at = "file://" + tempfile.mkdtemp(prefix="scorelark-")
-        sc.setCheckpointDir(at)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return at.rstrip("/")
+    return known.get()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -39,14 +40,17 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scorelark_path = path
+    return out
 
 
-def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that ``kept`` has written; nothing that is still to run may read them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    for one in tables:
+        at = jvm.org.apache.hadoop.fs.Path(one._scorelark_path)
         at.getFileSystem(conf).delete(at, True)
 
 
