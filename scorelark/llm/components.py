@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import kept
+from scorelark.llm.common import kept, release
 
 
 def _smallest(directed: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         after = small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         after = kept(after, label)
         same = after.join(stars, ["v", "u"], "left_anti").isEmpty() and after.count() == stars.count()
+        release(edges.sparkSession, stars)
         stars = after
         if same:
             break

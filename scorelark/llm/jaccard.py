@@ -28,7 +28,9 @@ tables of n different sets).
 
 Null texts and texts without words have an empty set and link with nothing.
 Repeated rows each give their row. Null ids take part, but never name a
-component unless it has no other. Extra columns stay out.
+component unless it has no other. Rows that share an id but not a text are two
+documents. Very long texts are shingled whole, in their own task; an empty table
+gives no rows; extra columns stay out of ``clusters`` and stay in ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -44,21 +46,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import kept
+from scorelark.llm.common import kept, release
 from scorelark.llm.components import components
 
 WIDTH = 5
 #: Two sets link when SHARE_OF * intersection >= SHARE * union.
 SHARE, SHARE_OF = 80, 100
-#: Shingles that a task holds before it hands them on, and documents whose shingles one range of keys takes on average.
-FLUSH, RANGE_DOCS = 1 << 20, 1 << 13
+#: Shingles that a task holds before it hands them on, bytes of text whose shingles one range of keys takes on average, and ranges of a task.
+FLUSH, RANGE_BYTES, RANGES_A_TASK, MOST_TASKS = 1 << 20, 1 << 23, 4, 1 << 16
 KEY_BITS = 48
 #: Pairs of groups that are tried first for two components; all others follow.
 FIRST_TRIES = 8
 #: Bits of the bitmap of shingles that occur again (of ``AGAIN`` times, or more if too many do), and slots of the table of common ones.
 MAP_BITS, SLOT_BITS = 28, 22
 AGAIN = (2, 8, 64, 512)
-WORDS_KNOWN = 1 << 19
+WORDS_KNOWN = 1 << 18
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -159,8 +161,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes, int]:
     The table has the bit length of counts, from the least that a quarter of
     its slots can hold. Both are of fixed size.
     """
-    ranges, n = 16, docs.count()
-    while ranges * RANGE_DOCS < n:
+    ranges, size = 16, docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+    while ranges * RANGE_BYTES < size:
         ranges *= 2
     map_bits, slot_bits, width = MAP_BITS, SLOT_BITS, max(8, (1 << MAP_BITS) // ranges)
 
@@ -186,7 +188,9 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes, int]:
         return pd.DataFrame([out])
 
     schema = "part long, " + "".join(f"n{k} long, b{k} binary, " for k in AGAIN) + "slots binary, levels binary, least long"
-    parts = kept(_count_ranges(docs, text_col, ranges).groupBy("part").applyInPandas(merge, schema), "rarity")
+    # so many tasks that what each reads doesn't grow with the table
+    blocks = _count_ranges(docs, text_col, ranges).repartition(min(ranges // RANGES_A_TASK, MOST_TASKS), "part")
+    parts = kept(blocks.groupBy("part").applyInPandas(merge, schema), "rarity")
     total = parts.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in AGAIN), F.max("least").alias("least")).first()
     again = next((k for k in AGAIN if total[f"n{k}"] <= 1 << MAP_BITS), AGAIN[-1])
     bitmap, table = np.zeros((1 << MAP_BITS) // 8, np.uint8), np.zeros(1 << SLOT_BITS, np.uint8)
@@ -195,15 +199,17 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes, int]:
         bitmap[at : at + width // 8] = np.frombuffer(row["bits"], np.uint8)
         slots, levels = np.frombuffer(row["slots"], "<u4"), np.frombuffer(row["levels"], np.uint8)
         np.maximum.at(table, slots[levels >= total["least"]], levels[levels >= total["least"]])
+    release(docs.sparkSession, parts)
     return bitmap.tobytes(), table.tobytes(), again
 
 
-PREFIXES = "n long, odd long, sid long, grp long, tokens array<long>, rests array<int>, shingles array<long>"
+PREFIXES = "txt long, n long, odd long, sid long, grp long, tokens array<long>, rests array<int>, shingles array<long>"
 
 
 def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n``, ``odd`` (shingles that no other document has), and for sets that may link ``sid``, ``grp``, ``tokens`` (the prefix), ``rests`` (for each how many shingles stand from it on), ``shingles``; else nulls."""
+    """``id_col``, ``txt`` (the text's hash), ``n``, ``odd`` (shingles that no other document has), and for sets that may link ``sid``, ``grp``, ``tokens`` (the prefix), ``rests`` (for each how many shingles stand from it on), ``shingles``; else nulls."""
     sent, least = docs.sparkSession.sparkContext.broadcast(known[:2]), known[2]
+    del known
     to_map, to_slot = np.uint64(64 - MAP_BITS), np.uint64(64 - SLOT_BITS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +218,7 @@ def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "do
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, odd, sid, grp, tokens, rests, every = [], [], [], [], [], [], []
-                for data in part.column(1).to_pylist():
+                for data in part.column(2).to_pylist():
                     own = shingle_set(data)
                     size = prefix_size(len(own))
                     bit = (own >> to_map).astype(np.int64)
@@ -235,9 +241,9 @@ def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "do
                     rests.append(rest)
                     every.append(own.view(np.int64))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(sid, pa.int64()), pa.array(grp, pa.int64()), pa.array(tokens, longs), pa.array(rests, pa.list_(pa.int32())), pa.array(every, longs)], names=[id_col, "n", "odd", "sid", "grp", "tokens", "rests", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(sid, pa.int64()), pa.array(grp, pa.int64()), pa.array(tokens, longs), pa.array(rests, pa.list_(pa.int32())), pa.array(every, longs)], names=[id_col, "txt", "n", "odd", "sid", "grp", "tokens", "rests", "shingles"])
 
-    given = docs.select(F.col(id_col), _data(docs, text_col))
+    given = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("txt"), _data(docs, text_col))
     return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {PREFIXES}")
 
 
@@ -310,8 +316,9 @@ def _pairs(met: _Met, few: bool) -> DataFrame:
     return pairs.join(first, ["g_a", "c_a"]).join(second, ["g_b", "c_b"]).select("a", "b").distinct()
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
+def _clusters(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col``, ``txt``, ``n``, and ``first``: (``no_id``, ``id``, ``txt``) of the first row of its component, null for a row that links with nothing."""
+    spark = docs.sparkSession
     rows = kept(prefixes(docs, rarity(docs, text_col), id_col, text_col), "prefixes")
     may = rows.where("sid is not null")
     nodes = kept(may.groupBy("sid").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("grp").alias("grp"), F.first("tokens").alias("tokens"), F.first("rests").alias("rests"), F.first("shingles").alias("shingles")), "nodes")
@@ -325,32 +332,48 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     star = members.join(groups, "grp").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     star = star.unionByName(heads.where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))).distinct()
-    edges = kept(_verified(star, nodes), "links")
+    links = [kept(_verified(star, nodes), "links")]
+    edges = links[0]
     of = kept(components(edges), "components")
 
     # first a few groups of two components, which joins most that belong together; then all that still lie apart
     for few in (True, False):
         met = _meeting(heads, members, of)
         rest = kept(_pairs(met, few), "pairs")
-        more = kept(_verified(rest, nodes), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            of = kept(components(edges), "components")
-
-    by_set = may.groupBy("sid").agg(F.min(id_col).alias("least"))
+        links.append(kept(_verified(rest, nodes), "links"))
+        release(spark, rest, met.open)
+        if not links[-1].isEmpty():
+            edges = edges.unionByName(links[-1])
+            before, of = of, kept(components(edges), "components")
+            release(spark, before)
+
+    by_set = may.groupBy("sid").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "txt")).alias("least"))
     by_set = by_set.join(of.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("comp"))
-    names = by_set.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = by_set.join(names, "comp").select("sid", "component_id")
-    return rows.select(id_col, "n", "sid").join(named, "sid", "left").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+    names = by_set.groupBy("comp").agg(F.min("least").alias("first"))
+    named = kept(by_set.join(names, "comp").select("sid", "first"), "named")
+    release(spark, nodes, heads, of, *links)
+    return rows.select(id_col, "txt", "n", "sid").join(named, "sid", "left").select(id_col, "txt", "n", "first")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All columns of one row of each component: that with its smallest id; of rows with that id, one. Rows without an id stay."""
-    found = kept(clusters(docs, id_col).select(id_col, "component_id"), "clusters")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    left = docs.join(gone, id_col, "left_anti")
-    again = found.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(id_col)
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
+    return _clusters(docs, id_col, text_col).select(id_col, F.col("n").alias("n_shingles"), F.coalesce("first.id", F.col(id_col)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each component: the first by id, then by the text's hash; rows without an id come last.
+
+    Rows equal in id and text count as one, also if the text has no words; rows
+    that share an id but not a text are told apart.
+    """
+    found = kept(_clusters(docs, id_col, text_col), "clusters")
+    me, txt = F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    gone = found.where(F.col("first").isNotNull() & ~(me.eqNullSafe(F.col("first.id")) & (F.col("txt") == F.col("first.txt")))).select(me.alias("__id"), F.col("txt").alias("__txt")).distinct()
+    again = found.groupBy(me.alias("__id"), F.col("txt").alias("__txt")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    named = docs.withColumn("__key", txt)
+    same = lambda keys: named[id_col].eqNullSafe(keys["__id"]) & (named["__key"] == keys["__txt"])
     if again.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return left.join(again, id_col, "left_anti").unionByName(once).select(*docs.columns)
+        return named.join(gone, same(gone), "left_anti").select(*docs.columns)
+    out = named.join(again, same(again), "left_anti").unionByName(named.join(again, same(again), "left_semi").dropDuplicates([id_col, "__key"]))
+    named = out
+    return out.join(gone, same(gone), "left_anti").select(*docs.columns)
