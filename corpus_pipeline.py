@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelark.llm import bpe, jaccard, leaks, privacy, quality
-from scorelark.llm.common import kept, table
+from scorelark.llm.common import kept, release, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The tokens of what all stages keep; a stage's input goes once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
