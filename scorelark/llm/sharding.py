@@ -5,16 +5,19 @@ clockwise from its key's place. Each shard takes so many rows only: the bounds
 add up to all rows and differ by one at most, so the counts do too. Rows that
 overflow a full shard continue clockwise to the next shard with room.
 
-The ring is cut into a fixed number of cells (``PLACES`` x ``LAYERS``), so the
-only thing that the driver sees is one count a cell, whatever the size of the
-table. From the counts it walks the ring once and gives each cell's rows, by
-their order in the cell, to shards: a plan of a bounded number of ranges, which
-is broadcast. Rows are numbered within their own cell only.
+The ring is cut into ``PLACES`` places, and a place with more than its part of
+the rows into layers, as many as parts it holds: at most twice ``PLACES`` cells
+in all, so the only thing that the driver sees is one count a cell, whatever the
+size of the table. From the counts it walks the ring once and gives each cell's
+rows, by their order in the cell, to shards: a plan of a bounded number of
+ranges, which is broadcast. Rows are numbered within their own cell only.
 
 A row's place comes from its key; its layer, which spreads rows of one hot key,
-from its content. Null keys hash like any key; a null text counts as an empty
-one; repeated rows each get their own slot; an empty table gives no rows. Extra
-columns of the input stay out.
+from its content, so only rows equal in key and text share a cell whatever
+happens. Null keys hash like any key; a null text counts as an empty one, and
+its size is 1; a very long text moves as its size and checksum only; repeated
+rows each get their own slot; an empty table gives no rows. Extra columns of the
+input stay out.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACES, LAYERS = 1 << 12, 1 << 3
+from scorelark.llm.common import kept
+
+PLACES = 1 << 12
 #: Virtual nodes of a shard.
 NODES = 64
 
@@ -86,13 +91,22 @@ def deal(counts: dict[tuple[int, int], int], shards: int, nodes: int = NODES, pl
     return plan
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
-    """One row a document: ``id_col``, ``size`` (UTF-8 bytes and 1), ``text_crc32``, ``shard``, ``slot``, ``home_shard`` (whose node comes first)."""
+def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``size``, ``text_crc32``, ``__place`` and ``__layer`` of every row. Texts are read once."""
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     rows = docs.select(F.col(id_col), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = rows.withColumn("__place", F.pmod(F.xxhash64(F.lit("place"), F.col(id_col).cast("string")), F.lit(PLACES)).cast("int"))
-    rows = rows.withColumn("__layer", F.pmod(F.xxhash64(F.lit("layer"), F.col(id_col).cast("string"), "text_crc32", "size"), F.lit(LAYERS)).cast("int"))
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__place", "__layer").count().collect()}  # PLACES * LAYERS at most
+    rows = kept(rows.withColumn("__place", F.pmod(F.xxhash64(F.lit("place"), F.col(id_col).cast("string")), F.lit(PLACES)).cast("int")), "rows")
+    counts = {r[0]: r[1] for r in rows.groupBy("__place").count().collect()}  # PLACES at most
+    part = max(1, -(-sum(counts.values()) // PLACES))
+    layers = docs.sparkSession.createDataFrame([(place, -(-n // part)) for place, n in counts.items()], "__place int, __layers long")
+    layer = F.pmod(F.xxhash64(F.lit("layer"), F.col(id_col).cast("string"), "text_crc32", "size"), F.col("__layers")).cast("int")
+    return rows.join(F.broadcast(layers), "__place").select(id_col, "size", "text_crc32", "__place", layer.alias("__layer"))
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
+    """One row a document: ``id_col``, ``size`` (UTF-8 bytes and 1), ``text_crc32``, ``shard``, ``slot``, ``home_shard`` (whose node comes first)."""
+    rows = located(docs, id_col, text_col)
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__place", "__layer").count().collect()}  # 2 * PLACES at most
     around = ring(shards, nodes)
     starts = [place for place, _ in around]
     plan = [(*x, around[bisect_left(starts, x[0]) % len(starts)][1]) for x in deal(counts, shards, nodes)]

@@ -46,3 +46,40 @@ def test_few_rows_move_when_a_shard_joins(spark):
     before = {r.doc_id: r.shard for r in placed(spark, rows, 8)}
     after = {r.doc_id: r.shard for r in placed(spark, rows, 9)}
     assert sum(before[i] != after[i] for i in before) < 0.4 * len(rows)  # dealing by the remainder moves eight ninths
+
+
+@pytest.mark.parametrize("shards,seed", [(8, 1), (9, 1), (3, 2)])
+def test_ring_row_by_row(spark, shards, seed):
+    """Every row walks the ring by itself: its own shard if that has room, and once all have tried theirs, the next with room clockwise."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(rng.randrange(700), "t" * rng.randrange(30) + str(i % 9), "a", "b") for i in range(900)] + [(7, f"hot {i}", "", "") for i in range(500)] + [(None, "x" * 300_000, "", ""), (5, "", "", ""), (5, None, "", "")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    cells = sorted((r["__place"], r["__layer"], r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in sharding.located(frame).collect())
+    around = sharding.ring(shards)
+    room, filled = sharding.bounds(len(rows), shards), [0] * shards
+    after = lambda place: next((k for k, (p, _) in enumerate(around) if p >= place), 0)
+    want, over = Counter(), []
+    for cell in cells:
+        home = around[after(cell[0])][1]
+        if filled[home] < room[home]:
+            want[(*cell[2:], home, filled[home], home)] += 1
+            filled[home] += 1
+        else:
+            over.append((cell, home))
+    for cell, home in over:
+        k = after(cell[0])
+        while filled[around[k % len(around)][1]] >= room[around[k % len(around)][1]]:
+            k += 1
+        shard = around[k % len(around)][1]
+        want[(*cell[2:], shard, filled[shard], home)] += 1
+        filled[shard] += 1
+    got = Counter((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size, r.shard, r.slot, r.home_shard) for r in sharding.shard_rows(frame, shards).collect())
+    assert got == want
+
+
+def test_a_hot_key_is_cut_into_layers(spark):
+    frame = spark.createDataFrame([(1, f"text {i}", "a", "b") for i in range(30_000)] + [(i, "t", "a", "b") for i in range(60_000)], SCHEMA)
+    counts = [r["count"] for r in sharding.located(frame).groupBy("__place", "__layer").count().collect()]
+    assert max(counts) <= 120 and len(counts) <= 2 * sharding.PLACES
