@@ -43,3 +43,36 @@ def test_large_components_stay_exact(spark):
 
 def test_empty(spark):
     assert vafile.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_cells_are_bytes_and_few_exact_vectors_are_read():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(256 * rng.normal(size=(4000, 32)))
+    block = vafile.Block(np.arange(4000), vectors)
+    assert block.file.cells.dtype == np.uint8 and block.file.cells.nbytes * 8 == vectors.nbytes
+    low, high = block.file.bounds(vectors[:40])
+    exact = vectors[:40] @ vectors.T
+    assert (low <= exact).all() and (exact <= high).all()
+    for i in range(40):
+        want = sorted((-int(s), j) for j, s in enumerate(exact[i]) if j != i)[:5]
+        assert block.best(vectors[i], low[i], high[i], i, 5) == want
+    assert block.reads < 40 * 0.02 * 4000
+
+
+@pytest.mark.parametrize("size", [2.0**52, 2.0**70, 2.0**300])
+def test_scores_beyond_doubles_use_the_same_file(size):
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(size=(1500, 12)) * size)
+    block = vafile.Block(np.arange(1500), vectors)
+    low, high = block.file.bounds(vectors[:10])
+    for i in range(10):
+        exact = [sum(int(a) * int(b) for a, b in zip(vectors[i], v)) for v in vectors]
+        assert block.best(vectors[i], low[i], high[i], i, 5, True) == sorted((-s, j) for j, s in enumerate(exact) if j != i)[:5]
+    assert block.reads < 10 * 0.1 * 1500
+
+
+def test_extra_columns_no_queries_and_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0], "x") for i in range(40)]
+    got = vafile.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 7).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert vafile.top_k(spark.createDataFrame(rows, SCHEMA), F.lit(False)).count() == 0
