@@ -8,8 +8,9 @@ prefixes while a neighbour is incompatible, and gives up a position for good
 once no token fits there. Compatibility is memoised. Each position is given up
 once at most, so the time is linear in the piece.
 
-Nulls count as empty texts; an empty text has no tokens. Repeated rows each
-give their row. Extra columns of the input are ignored.
+Nulls count as empty texts; an empty text has no tokens. Very long texts are cut
+into pieces by and by and encoded whole. Repeated rows each give their row; an
+empty table gives no rows. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
@@ -27,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers, each of so many characters at most.
-CACHE_PIECES, CACHE_CHARS = 1 << 19, 48
+from scorelark.llm.common import resident
+
+#: Pieces that a worker remembers, each of so many characters at most, and pairs of tokens whose compatibility it remembers.
+CACHE_PIECES, CACHE_CHARS, FITS = 1 << 18, 48, 1 << 19
 #: Longer texts are cut into pieces by and by, not all at once.
 STREAM_CHARS, STREAM_PIECES = 1 << 20, 1 << 16
 #: The rank file is sent to every executor, so its size is checked.
@@ -115,7 +118,7 @@ class BytePairCodec:
     def _fit(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 1 << 20:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
@@ -175,16 +178,9 @@ class _PieceCache(dict):
         return ids
 
 
-_codecs: dict[tuple[str, str], BytePairCodec] = {}
-
-
 def codec_for(data: bytes, pattern: str) -> BytePairCodec:
     """One codec a worker process, whatever the number of its tasks."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = BytePairCodec(read_ranks(data), pattern)
-    return _codecs[key]
+    return resident((hashlib.sha256(data).hexdigest(), pattern), lambda: BytePairCodec(read_ranks(data), pattern))
 
 
 def _shipped(df: DataFrame, rank_path: str):
@@ -252,6 +248,3 @@ def default_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
-
-
-Encoder = Callable[[DataFrame], DataFrame]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +54,23 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+#: What this worker process holds from task to task.
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]):
+    """What ``make`` gives, made once in a worker process. Workers serve all operators in turn, so they hold one thing at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Let go of what an earlier operator's tasks left in this worker process."""
+    _resident.clear()
+
+
 class Stretches:
     """Intervals by their start, with the furthest end up to each: whether any meets a stretch takes one search."""
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import kept, release
+from scorelark.llm.common import kept, release, resident
 from scorelark.llm.components import components
 
 WIDTH = 5
@@ -72,16 +72,13 @@ class _Words(dict):
         return got
 
 
-_words = _Words()
-
-
 def shingle_set(data: bytes) -> np.ndarray:
     """The sorted distinct shingles of a text as 64-bit hashes. Bytes split at the six blanks of ASCII and lower A-Z only."""
     words = data.lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(resident("words", _Words).__getitem__, words), np.uint64, n)
     width = min(n, WIDTH)
     out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):

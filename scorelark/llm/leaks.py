@@ -20,24 +20,30 @@ it has one sentence, whose answer is a guess, ``HALF`` of all its words will do.
 It leaks as well if the whole text holds ``SAME`` of its five-word shingles, and
 some of both parts, wherever they stand.
 
-The index is broadcast only up to ``INDEX_POSTINGS`` postings; more items are
-taken in shares, each of which reads the documents. A document's text is read
-whole, in its own task. Items or texts that are null or empty never match;
-repeated documents and repeated items give a row each; extra columns stay out.
+Items are broadcast up to ``INDEX_POSTINGS`` words and ``INDEX_BYTES``; more are taken in shares, each
+of which reads the documents. A worker builds a share's index once. A document's
+text is read whole, however long, in its own task. Items or texts that are null
+or empty never match; repeated documents and repeated items give a row each, and
+items that share an id each give their own; an empty table of documents gives no
+rows, one of items no leaks; extra columns stay out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelark.llm.common import resident
+
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE, ENTRY, SHINGLE = 64, 32, 32, 5
 #: Words that one bound is taken for; the next segment begins so far on that no window is cut.
@@ -45,7 +51,10 @@ SEGMENT = 512
 #: Share of an entry's own score that retrieves it, of an item's shingles that verifies it, and of its words near the passages.
 REACH, SAME, HALF = 0.6, 0.8, 0.5
 BLOCK = 32
-INDEX_POSTINGS = 4_000_000
+#: Words and bytes of item texts that one index may hold; it has no more postings than words. A longer item has an index of its own.
+INDEX_POSTINGS, INDEX_BYTES = 1_000_000, 16 << 20
+#: Items whose shingles a worker keeps.
+DETAILS = 4096
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -84,42 +93,63 @@ def parts(text: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class ItemIndex:
+    """The inverted index of some items, in flat arrays: 12 bytes a posting, a few more a block and a term."""
+
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, text) for i, text in items if text and words(text)]
-        self.shingles, self.parts, texts, self.item_of = [], [], [], []
+        self.details: dict[int, tuple] = {}
+        self.term: dict[bytes, int] = {}
+        self.item_of: list[int] = []
+        size, spread, terms, times = array("i"), array("i"), array("i"), array("i")
         for item, (_, text) in enumerate(self.items):
-            question, answer = parts(text)
             every = words(text)
-            self.shingles.append((shingles(every), shingles(question), shingles(answer)))
-            self.parts.append((every, question, answer, one_sentence(text)))
             n = -(-len(every) // ENTRY)
-            texts += [every[len(every) * k // n : len(every) * (k + 1) // n] for k in range(n)]
-            self.item_of += [item] * n
-        n, mean = len(texts), sum(map(len, texts)) / max(1, len(texts))
-        holds = Counter(w for t in texts for w in set(t))
-        idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in holds.items()}
-        self.term = {w: k for k, w in enumerate(holds)}
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        own = []
-        for entry, text in enumerate(texts):
-            impact = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(text) / mean)) for w, c in Counter(text).items()}
-            own.append(sum(impact.values()))
-            for w, x in impact.items():
-                lists[self.term[w]].append((entry, x))
-        self.threshold = np.array([REACH * x for x in own])
-        self.least = min(self.threshold, default=math.inf)
-        self.postings = [lists[k] for k in range(len(self.term))]
-        self.top = np.array([max(x for _, x in p) for p in self.postings] + [0.0])
-        self.blocks = [[(p[min(j + BLOCK, len(p)) - 1][0], max(x for _, x in p[j : j + BLOCK])) for j in range(0, len(p), BLOCK)] for p in self.postings]
-        # the same lists end to end
-        self.first = np.concatenate(([0], np.cumsum([len(p) for p in self.postings]))).astype(np.int64)
-        self.entries = np.array([e for p in self.postings for e, _ in p], np.int64)
-        self.impacts = np.array([x for p in self.postings for _, x in p])
+            for k in range(n):
+                own = Counter(every[len(every) * k // n : len(every) * (k + 1) // n])
+                terms.extend(self.term.setdefault(w, len(self.term)) for w in own)
+                times.extend(own.values())
+                spread.append(len(own))
+                size.append(sum(own.values()))
+                self.item_of.append(item)
+        n, t = len(size), len(self.term)
+        sizes, term, tf = (np.array(x, np.int64) for x in (size, terms, times))
+        entry = np.repeat(np.arange(n, dtype=np.int32), np.array(spread, np.int64))
+        holds = np.bincount(term, minlength=t)
+        idf = np.log(1 + (n - holds + 0.5) / (holds + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[entry] / sizes.mean())) if n else np.zeros(0)
+        self.threshold = REACH * np.bincount(entry, impact, n)
+        self.least = float(min(self.threshold, default=math.inf))
+        order = np.argsort(term, kind="stable")
+        self.entries, self.impacts = entry[order], impact[order]
+        self.first = np.concatenate(([0], np.cumsum(holds))).astype(np.int64)
+        blocks = -(-holds // BLOCK)
+        self.block_first = np.concatenate(([0], np.cumsum(blocks))).astype(np.int64)
+        starts = np.repeat(self.first[:-1] - BLOCK * self.block_first[:-1], blocks) + BLOCK * np.arange(self.block_first[-1])
+        ends = np.minimum(starts + BLOCK, np.repeat(self.first[1:], blocks))
+        self.block_last = self.entries[ends - 1] if n else np.zeros(0, np.int32)
+        self.block_most = np.maximum.reduceat(self.impacts, starts) if n else np.zeros(0)
+        self.top = np.concatenate((np.maximum.reduceat(self.impacts, self.first[:-1]) if n else np.zeros(0), [0.0]))
+
+    @property
+    def postings(self) -> list[list[tuple[int, float]]]:
+        """By term the (entry, impact) pairs, for looking at."""
+        cuts = self.first[1:-1]
+        return [list(zip(e.tolist(), x.tolist(), strict=True)) for e, x in zip(np.split(self.entries, cuts), np.split(self.impacts, cuts), strict=True)]
+
+    def detail(self, item: int) -> tuple:
+        """Shingles of the whole item, its question and its answer; the words of each; whether it is one sentence. Few items are ever retrieved."""
+        if item not in self.details:
+            if len(self.details) >= DETAILS:
+                self.details.clear()
+            text = self.items[item][1]
+            every, (question, answer) = words(text), parts(text)
+            self.details[item] = (shingles(every), shingles(question), shingles(answer)), (every, question, answer, one_sentence(text))
+        return self.details[item]
 
     def segment_reaches(self, ids: np.ndarray) -> bool:
         """Whether all terms of a segment together bring some entry to its threshold."""
         terms = np.unique(ids)
-        terms = terms[terms < len(self.postings)]
+        terms = terms[terms < len(self.first) - 1]
         sizes = self.first[terms + 1] - self.first[terms]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + sizes, sizes)
@@ -136,8 +166,11 @@ class ItemIndex:
 
     def query(self, terms: list[int]) -> list[tuple[int, float]]:
         """All (entry, score) that reach the entry's threshold."""
-        found, postings, top, blocks, least = [], self.postings, self.top, self.blocks, self.least
-        cursors = [[postings[t][0][0], 0, t] for t in terms]  # item at hand, place in the list, term
+        # views give plain numbers, one at a time
+        entries, impacts, first, top, threshold = map(memoryview, (self.entries, self.impacts, self.first, self.top, self.threshold))
+        block_first, block_last, block_most, least = memoryview(self.block_first), memoryview(self.block_last), memoryview(self.block_most), self.least
+        found = []
+        cursors = [[entries[first[t]], first[t], t] for t in terms]  # entry at hand, its place, term
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -148,34 +181,35 @@ class ItemIndex:
                     break
             if pivot < 0:
                 break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+            entry = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
             most, upto = 0.0, math.inf
             for _, at, t in cursors[: pivot + 1]:
-                j = at // BLOCK
-                while blocks[t][j][0] < item and j + 1 < len(blocks[t]):
+                j, end = block_first[t] + (at - first[t]) // BLOCK, block_first[t + 1] - 1
+                while j < end and block_last[j] < entry:
                     j += 1
-                if blocks[t][j][0] >= item:
-                    most += blocks[t][j][1]
-                    upto = min(upto, blocks[t][j][0])
+                if block_last[j] >= entry:
+                    most += block_most[j]
+                    upto = min(upto, block_last[j])
             if most < least:  # nothing up to the nearest block's end can reach it
                 goal = min(upto + 1, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf)
-                goal = max(goal, item + 1) if goal != math.inf else math.inf
-            elif cursors[0][0] == item:
-                score = sum(postings[t][at][1] for _, at, t in cursors[: pivot + 1])
-                if score >= self.threshold[item]:
-                    found.append((item, score))
-                goal = item + 1
+                goal = max(goal, entry + 1) if goal != math.inf else math.inf
+            elif cursors[0][0] == entry:
+                score = sum(impacts[at] for _, at, _ in cursors[: pivot + 1])
+                if score >= threshold[entry]:
+                    found.append((entry, score))
+                goal = entry + 1
             else:
-                goal = item
+                goal = entry
             moved = []
-            for cursor in cursors[: pivot + 1]:
-                at, p = cursor[1], postings[cursor[2]]
-                while at < len(p) and p[at][0] < goal:
-                    at = min((at // BLOCK + 1) * BLOCK, len(p)) if blocks[cursor[2]][at // BLOCK][0] < goal else at + 1
-                if at < len(p):
-                    moved.append([p[at][0], at, cursor[2]])
+            for _, at, t in cursors[: pivot + 1]:
+                begin, end = first[t], first[t + 1]
+                while at < end and entries[at] < goal:
+                    j = (at - begin) // BLOCK
+                    at = min(begin + (j + 1) * BLOCK, end) if block_last[block_first[t] + j] < goal else at + 1
+                if at < end:
+                    moved.append([entries[at], at, t])
             cursors = moved + cursors[pivot + 1 :]
         return found
 
@@ -210,14 +244,15 @@ class ItemIndex:
                         best[item] = (score, low + start)
         if not best:
             return []
-        wanted = set().union(*(self.shingles[item][0] | self.shingles[item][1] | self.shingles[item][2] for item in best))
+        details = {item: self.detail(item) for item in best}
+        wanted = set().union(*(part for item in best for part in details[item][0]))
         there = {g for size in {len(g) for g in wanted} for i in range(len(tokens) - size + 1) if (g := tuple(tokens[i : i + size])) in wanted}
         out = []
         for item, (score, start) in sorted(best.items()):
-            whole, question, answer = ((len(s & there) / len(s)) if s else 1.0 for s in self.shingles[item])
+            whole, question, answer = ((len(s & there) / len(s)) if s else 1.0 for s in details[item][0])
             leaks = whole >= SAME and question > 0 and answer > 0
             if not leaks:
-                every, *two, single = self.parts[item]
+                every, *two, single = details[item][1]
                 near = self.near(tokens, places[item], len(every))
                 q, a = (held(x, near) if x else 1.0 for x in two)
                 leaks = min(q, a) >= HALF or single and held(every, near) >= HALF
@@ -230,19 +265,26 @@ FOUND = pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("score"
 
 
 def _shares(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in shares that an index may hold; a postings list never has more entries than the text has characters."""
-    share, held = [], 0
+    """The items in shares that an index may hold."""
+    share, n, held = [], 0, 0
     for row in benchmark.select(item_col, item_text_col).where(F.length(item_text_col) > 0).toLocalIterator():
-        size = len(row[1].split()) + 1
-        if share and held + size > INDEX_POSTINGS:
+        more, size = len(words(row[1])) + 1, len(row[1].encode())
+        if share and (n + more > INDEX_POSTINGS or held + size > INDEX_BYTES):
             yield share
-            share, held = [], 0
+            share, n, held = [], 0, 0
         share.append((row[0], row[1]))
-        held += size
+        n, held = n + more, held + size
     if share:
         yield share
 
 
+def _sent(spark: SparkSession, share: list[tuple[int, str]]) -> Callable[[], ItemIndex]:
+    """A share sent to the workers, and what gives its index there: one a worker process, whatever the number of its tasks."""
+    sent, name = spark.sparkContext.broadcast(share), hashlib.sha256(repr(share).encode()).hexdigest()
+
+    return lambda: resident(name, lambda: ItemIndex(sent.value))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """One row a document and share of the items: ``id_col``, ``columns``, ``leaks`` (an array, empty if clean)."""
     spark = docs.sparkSession
@@ -251,10 +293,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     schema = f"`{id_col}` {kinds[id_col]}, " + "".join(f"`{c}` {kinds[c]}, " for c in columns) + "leaks array<struct<item_id:long,start_word:long,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 
     def one(share: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(share)
+        index_of = _sent(spark, share)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
+            index = index_of()
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
@@ -279,11 +321,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = docs
     for share in _shares(benchmark, "item_id", "text"):
-        sent = spark.sparkContext.broadcast(share)
+        index_of = _sent(spark, share)
         at, names = docs.columns.index("text"), docs.columns
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
+        def run(batches: Iterable[pa.RecordBatch], index_of=index_of) -> Iterator[pa.RecordBatch]:
+            index = index_of()
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)

@@ -7,7 +7,7 @@ information log2(c(e,t) N / (c(e) c(t))), with document counts c over all N
 documents, is compared with the information content log2(N / c(e)) of the
 value. A share of ``REMOVE`` or more means that the term all but names the
 value, and it goes; a share of ``GENERALISE`` or more, that it narrows it down,
-and it is replaced by a general word: at every place, in every document.
+and its kind is put in its place (``general``): at every place, in every document.
 Estimates rest on at least ``SUPPORT`` different texts, so copies of one text
 are no evidence.
 
@@ -17,8 +17,9 @@ words rare enough to reach the share, by their exact counts, are paired with
 values. What the executors get is bitmaps of fixed size that say which texts
 and words may count, and shares of the disclosing terms; exact counts are
 joined. Offsets are code points, ends are exclusive. A null text counts as an
-empty one (and stays null when rewritten); repeated rows each give their row;
-extra columns stay as they are.
+empty one (and stays null when rewritten); very long texts are read whole;
+repeated rows each give their row; an empty table gives no rows; extra columns
+stay as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import Stretches, kept
+from scorelark.llm.common import Stretches, kept, vacate
 
 KINDS = ("email", "ip", "card", "phone")
 TERMS = ("term", "hint")
@@ -65,22 +66,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    out, last = [], 0
+    for m in EMAIL.finditer(text) if "@" in text else ():
+        start = at = m.start()
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at:
+            out.append((start, m.end()))
+            last = m.end()
+        else:
+            last = max(last, at)
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.group().split("."))]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), leftmost and not overlapping within a kind; failing matches go, without another try."""
-    out = []
-    if "@" in text:
-        last = 0
-        for m in EMAIL.finditer(text):
-            start = at = m.start()
-            while start > last and text[start - 1] in LOCAL:
-                start -= 1
-            if start < at:
-                out.append(("email", start, m.end()))
-                last = m.end()
-            else:
-                last = max(last, at)
+    out = [("email", *span) for span in emails(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.group().split("."))]
+        out += [("ip", *span) for span in addresses(text)]
         for m in CARD.finditer(text):
             digits = NOT_DIGIT.sub("", m.group()) if m.end() - m.start() >= 14 else ""
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -113,6 +121,7 @@ MARKS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("k
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vacate()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             yield batch.slice(at, 512)
@@ -288,7 +297,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
 
 
-PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "hint": "[GENERAL]"}
+PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "hint": "[WORD]"}
+
+
+def general(word: str) -> str:
+    """What is left of a term that narrows a value down: whether it is a number, a name by its capital, or another word."""
+    return "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else PUT["hint"]
 
 
 def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
@@ -296,7 +310,7 @@ def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if end > at:
-            out += [text[at : max(at, start)], PUT[kind]]
+            out += [text[at : max(at, start)], general(text[start:end]) if kind == "hint" else PUT[kind]]
             at = end
     return "".join([*out, text[at:]])
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import kept, release
+from scorelark.llm.common import kept, release, vacate
 
 #: Labelled rows that the models are fitted on at most.
 SAMPLE = 20_000
@@ -131,6 +131,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = ["__id", "__text", *(c for _, c, _ in TARGETS)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -193,6 +194,7 @@ def evidence(docs: DataFrame, models: dict[str, Model], text_col: str = "text",
     at = len(names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         known = list(sent.value.values())
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):

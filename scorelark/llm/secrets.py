@@ -2,18 +2,22 @@
 
 Plain secrets (assignments, access identifiers, long hexadecimal runs) are
 reported wherever they stand. Besides, weak parts are collected that mean
-nothing alone: key identifiers, opaque words that look drawn at random, and
-endpoints with a host. They are joined within a scope, a stretch of neighbouring
-lines. An identifier and a secret that its name tells are a credential, with or
-without an endpoint, wherever they stand in the scope; endpoints of the scope
-belong to it. A bare opaque word is weaker: it needs an access identifier, or
-an identifier and an endpoint, in the same chain of parts, each within ``REACH``
-characters of the next. The join takes no pairs: a part asks each scope and
-chain for the first end and the last start of the other role.
+nothing alone: key identifiers, logins (mail addresses), opaque words that look
+drawn at random, endpoints with a host, and bare network addresses. They are
+joined within a scope, a stretch of neighbouring lines. An identifier and a
+secret that its name tells are a credential, with or without an endpoint,
+wherever they stand in the scope; endpoints of the scope belong to it. Any other
+two that complement each other have to be in the same chain of parts, each
+within ``REACH`` characters of the next: a login, an endpoint or an address with
+a secret that has a name; a bare opaque word with an access identifier, or with
+an identifier and an endpoint. The join takes no pairs: a part asks each scope
+and chain for the first end and the last start of the other role.
 
 A scope never leaves its text, so the join runs where the text is read, with no
 shuffle. Offsets are code points; ends are exclusive. A null text counts as an
-empty one; repeated rows each give their row; extra columns stay out.
+empty one; very long texts are read whole; parts that begin at the same place
+are all reported; repeated rows each give their row; an empty table gives no
+rows; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -28,25 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import Stretches
+from scorelark.llm.common import Stretches, vacate
+from scorelark.llm.privacy import addresses, emails
 
 #: Characters from part to part of a chain with a bare opaque word, and blank lines in a row that end a scope.
 REACH, SCOPE_BREAK = 400, re.compile(r"\n[ \t\r]*\n[ \t\r\n]*\n")
 KINDS = ("assign", "access", "hex")
-LINKED = ("key_id", "opaque", "endpoint")
+LINKED = ("key_id", "opaque", "endpoint", "login", "address")
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer fails, and nothing in it can succeed
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Roles of the plain kinds in a credential.
-ROLE = {"access": "id", "assign": "secret", "hex": "secret", "key_id": "id", "opaque": "secret", "endpoint": "endpoint"}
+ROLE = {"access": "id", "assign": "secret", "hex": "secret", "key_id": "id", "opaque": "secret", "endpoint": "endpoint", "login": "login", "address": "address"}
 KEY_ID = re.compile(r"""(?ai)(?<![a-z0-9])(?<!secret[_-])(?:client|account|tenant|user|access|key|access[_-]?key)[_-]?(id|name|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,}+)""")
-ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[a-z0-9.-]{3,}+(?::[0-9]{1,5})?""")
+ENDPOINT = re.compile(r"""(?ai)(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[a-z0-9.-]{3,}+(?::[0-9]{1,5})?""")
 HOST = re.compile(r"""(?ai)(?<![a-z0-9])(host(?:[_-]?name)?|server|endpoint|domain|ur[il])["']?\x20*[:=]\x20*["']?([a-z0-9-]++(?:\.[a-z0-9-]++)*+(?::[0-9]{1,5}+)?+)(?!:?//)""")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 #: What stands before a secret with a name, and in how many characters it is sought.
 NAMED, NAME_CHARS = re.compile(r"""(?ai)(?:secret|token|pass|pwd|cred|auth|sig|key)[a-z0-9_-]*+["']?\x20*[:=]\x20*["']?\Z"""), 200
+#: A name of a secret anywhere: without one, and without an identifier, nothing can be linked.
+NAME = re.compile(r"""(?ai)(?:secret|token|pass|pwd|cred|auth|sig|key)[a-z0-9_-]*+["']?\x20*[:=]""")
 #: Bits a character that an opaque word has at least.
 OPAQUE_BITS = 3.5
 
@@ -76,18 +83,22 @@ def endpoints(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Endpoints, key identifiers and opaque words. A text without an identifier can't complete a credential and gives none."""
+    """The parts that mean nothing alone. A text without an identifier and without a secret's name can't complete a credential and gives none."""
     hidden = Stretches((a, b) for _, a, b in base)
-    keys = [m for m in KEY_ID.finditer(text) if not hidden.meets(*m.span(2))] if "=" in text or ":" in text else []
-    if not keys and not any(ROLE[kind] == "id" for kind, _, _ in base):
+    assigns = "=" in text or ":" in text
+    keys = [m for m in KEY_ID.finditer(text) if not hidden.meets(*m.span(2))] if assigns else []
+    named = any(kind == "assign" for kind, _, _ in base) or assigns and NAME.search(text) is not None
+    if not named and not keys and not any(ROLE[kind] == "id" for kind, _, _ in base):
         return []
     ends = endpoints(text)
     hosts = Stretches((a, b) for _, a, b in ends)
     keys = [m for m in keys if not hosts.meets(*m.span(2))]
+    apart = Stretches([(a, b) for _, a, b in base + ends] + [m.span(2) for m in keys])
+    lone = [(kind, a, b) for kind, spans in (("login", emails(text)), ("address", addresses(text))) for a, b in spans if not apart.meets(a, b)] if named else []
     # a value named *_key may be either; one named *_id or *_name is no secret
-    taken = Stretches([(a, b) for _, a, b in base + ends] + [m.span(2) for m in keys if m.group(1).lower() != "key"])
+    taken = Stretches([(a, b) for _, a, b in base + ends + lone] + [m.span(2) for m in keys if m.group(1).lower() != "key"])
     opaque = [m for m in OPAQUE.finditer(text) if not taken.meets(*m.span()) and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and bits_a_character(m.group()) >= OPAQUE_BITS]
-    return ends + [("key_id", *m.span(2)) for m in keys] + [("opaque", *m.span()) for m in opaque]
+    return ends + lone + [("key_id", *m.span(2)) for m in keys] + [("opaque", *m.span()) for m in opaque]
 
 
 class Roles:
@@ -136,8 +147,10 @@ def linked(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
         if kind == "key_id":
             return whole.beside("named", a, b) or near and chain.beside("secret", a, b)
         if kind == "opaque":
-            return named and whole.beside("id", a, b) or "access" in chain.of or near and chain.beside("id", a, b)
-        return whole.both("id", "named") or chain.both("id", "secret")
+            return named and (whole.beside("id", a, b) or any(chain.beside(role, a, b) for role in ("login", "endpoint", "address"))) or "access" in chain.of or near and chain.beside("id", a, b)
+        if chain.beside("named", a, b):
+            return True
+        return kind == "endpoint" and (whole.both("id", "named") or chain.both("id", "secret"))
 
     given = set(weak)
     return [x[:3] for x in placed if x[:3] in given and complete(*x)]
@@ -151,6 +164,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row a document: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``found`` (structs of kind, start, end, value)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         found_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

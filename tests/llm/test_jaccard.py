@@ -102,3 +102,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    x, y = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, x), (5, x), (5, y), (6, y), (7, y), (8, None), (8, None), (8, "")]
+    for n in (1, 5):
+        got = jaccard.one_of_each(spark.createDataFrame([(*r, "e", "f") for r in rows], SCHEMA).repartition(n)).collect()
+        assert sorted((r.doc_id, str(r.text)) for r in got if r.doc_id != 8) == [(1, x), (5, y)] and sum(r.doc_id == 8 for r in got) == 1
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = jaccard.clusters(spark.createDataFrame([(1, long, "", ""), (2, long + " more", "", ""), (3, "w1 w2 w3 w4 w5", "", "")], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 299_996, 1), (2, 299_997, 1), (3, 1, 3)]

@@ -102,3 +102,23 @@ def test_edited_and_partly_quoted_items():
     assert all(found(items[6][a : a + 200]) == {6} for a in (0, 50, 100))
     assert found(two[3][:31]) == set() and found(two[3][10:45]) == {10}
     assert not any(found(say(300)) for _ in range(20))
+
+
+def test_very_long_text_and_repeated_items(spark):
+    docs, items, _ = corpus(11)
+    text = "w1 the of " * 200_000 + items[3][1] + " and in" * 200_000
+    got = leaks.leaks(spark.createDataFrame([(1, text, "z")], DOCS), spark.createDataFrame([items[3], items[3], (3, items[4][1], "x")], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 3)] * 2
+
+
+def test_an_index_at_its_bound_is_small():
+    import tracemalloc
+
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(leaks.INDEX_POSTINGS // 1000)]  # a tenth of the bound
+    tracemalloc.start()
+    index = leaks.ItemIndex(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(index.entries) > 90_000 and held < 50 << 20

@@ -133,3 +133,12 @@ def test_disclosing_terms_are_those_of_the_counts(spark):
                 want[w] = max(want.get(w, 0), share)
     got = {r.term: r.kind for r in privacy.disclosing(spark.createDataFrame(given, SCHEMA)).collect()}
     assert got == {w: "term" if share >= privacy.REMOVE else "hint" for w, share in want.items()} and len(got) > 5
+
+
+def test_repeated_rows_and_what_narrows_down(spark):
+    rows = [(1, "mail jo@a.example.com now", "a", "b")] * 3 + [(2, None, "a", "b")] * 2
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.doc_id, r.n_email) for r in privacy.scan(frame).orderBy("doc_id").collect()] == [(1, 1)] * 3 + [(2, 0)] * 2
+    assert sorted(str(r.text) for r in privacy.sanitise(frame).collect()) == ["None"] * 2 + ["mail [EMAIL] now"] * 3
+    assert [privacy.general(w) for w in ("1984", "Zanzibar", "harbour")] == ["[NUMBER]", "[NAME]", "[WORD]"]
+    assert privacy.rewrite("met Zanzibar", [(4, 12, "hint")]) == "met [NAME]"
