@@ -28,14 +28,14 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import Stretches, kept, vacate
+from scorelark.llm.common import Stretches, kept, release, vacate
 
 KINDS = ("email", "ip", "card", "phone")
 TERMS = ("term", "hint")
@@ -244,57 +244,77 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     return share.where(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, TERMS[0]).otherwise(TERMS[1]).alias("kind"))
 
 
-def marked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns, and ``__marks``: every place, in any document, of a term that discloses a protected value. Terms are sent in shares of ``TERMS_SENT``."""
-    out = docs.withColumn("__marks", F.array().cast(f"array<{MARK}>"))
-    terms = disclosing(docs, text_col)
-    if terms is None:
-        return out
-    at, names, schema = docs.columns.index(text_col), out.columns, out.schema
+def _through(docs: DataFrame, text_col: str, schema: str, finish: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch]) -> DataFrame:
+    """``finish`` of every batch and, of each of its texts, the spans of all personal data: identifiers, and every place of a term that discloses a protected value.
 
-    def one(given: DataFrame, share: dict[bytes, str]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(share)
+    Terms are sent in shares of ``TERMS_SENT``; the last share is looked for where ``finish`` runs, so as a rule texts go through Python once.
+    """
+    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index(text_col)
+    shares: list[dict[bytes, str]] = [{}]
+    terms = disclosing(docs, text_col)
+    if terms is not None:
+        found = kept(terms, "disclosing")
+        for row in found.toLocalIterator():
+            if len(shares[-1]) >= TERMS_SENT:
+                shares.append({})
+            shares[-1][row.term.encode()] = row.kind
+        release(spark, found)
+
+    def marks(text: str | None, base: list[tuple[str, int, int]], kinds: dict[bytes, str], of: dict[str, str]) -> list[tuple[str, int, int]]:
+        if not text or not kinds or kinds.keys().isdisjoint(text.encode().translate(FOLD).split()):
+            return []
+        return [(of[w], a, b) for w, a, b in words_outside(text, base) if w in of]
+
+    def earlier(given: DataFrame, share: dict[bytes, str]) -> DataFrame:
+        sent, columns = spark.sparkContext.broadcast(share), given.columns
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = sent.value
-            of, none = {k.decode(): kind for k, kind in kinds.items()}, kinds.keys()
+            of = {k.decode(): kind for k, kind in sent.value.items()}
             for part in _parts(batches):
-                marks = []
-                for text, more in zip(part.column(at).to_pylist(), part.column(len(names) - 1).to_pylist(), strict=True):
-                    if text and not none.isdisjoint(text.encode().translate(FOLD).split()):
-                        more = more + [{"start": a, "end": b, "kind": of[w]} for w, a, b in words_outside(text, base_spans(text)) if w in of]
-                    marks.append(more)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(marks, MARKS_TYPE)], names=names)
+                more = [m + [{"start": a, "end": b, "kind": k} for k, a, b in marks(t, base_spans(t or ""), sent.value, of)] for t, m in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(more, MARKS_TYPE)], names=columns)
+
+        return given.mapInArrow(run, given.schema)
 
-        return given.mapInArrow(run, schema)
+    out = docs
+    if len(shares) > 1:
+        out = docs.withColumn("__marks", F.array().cast(f"array<{MARK}>"))
+        for share in shares[:-1]:
+            out = earlier(out, share)
+    last, several = spark.sparkContext.broadcast(shares[-1]), len(shares) > 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = last.value
+        of = {k.decode(): kind for k, kind in kinds.items()}
+        for part in _parts(batches):
+            texts = part.column(at).to_pylist()
+            more = part.column(len(names)).to_pylist() if several else [()] * len(texts)
+            spans = []
+            for text, known in zip(texts, more, strict=True):
+                base = base_spans(text or "")
+                spans.append(base + [(m["kind"], m["start"], m["end"]) for m in known] + marks(text, base, kinds, of))
+            yield finish(pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names), spans)
 
-    share: dict[bytes, str] = {}
-    for row in kept(terms, "disclosing").toLocalIterator():
-        share[row.term.encode()] = row.kind
-        if len(share) >= TERMS_SENT:
-            out, share = one(out, share), {}
-    return one(out, share) if share else out
+    return out.mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``."""
     order = KINDS + TERMS
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            counts, shas, spans = [[] for _ in KINDS], [], []
-            for text, more in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                base = base_spans(text)
-                for kind, n in zip(KINDS, counts, strict=True):
-                    n.append(sum(x[0] == kind for x in base))
-                shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                every = sorted([(a, order.index(kind), b) for kind, a, b in base] + [(x["start"], order.index(x["kind"]), x["end"]) for x in more])
-                spans.append(",".join(f"{order[k]}:{a}:{b}" for a, k, b in every))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-
-    given = marked(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    def told(part: pa.RecordBatch, spans: list[list[tuple[str, int, int]]]) -> pa.RecordBatch:
+        counts, shas, every = [[] for _ in KINDS], [], []
+        for own in spans:
+            base = [s for s in own if s[0] in KINDS]
+            for kind, n in zip(KINDS, counts, strict=True):
+                n.append(sum(x[0] == kind for x in base))
+            shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
+            every.append(",".join(f"{order[k]}:{a}:{b}" for a, k, b in sorted((a, order.index(kind), b) for kind, a, b in own)))
+        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(every, pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    given = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
+    return _through(given, "text", f"`{id_col}` {given.schema[0].dataType.simpleString()}, {counts}, base_sha256 string, spans string", told)
 
 
 PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "hint": "[WORD]"}
@@ -317,16 +337,12 @@ def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with the identifiers and the disclosing terms out of the text."""
-    names, at = docs.columns, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            texts = []
-            for text, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
-                spans = [] if text is None else [(a, b, kind) for kind, a, b in base_spans(text)] + [(x["start"], x["end"], x["kind"]) for x in more]
-                texts.append(rewrite(text, spans) if spans else text)
-            columns = list(part.columns[: len(names)])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return marked(docs, text_col).mapInArrow(run, docs.schema)
+    def cleaned(part: pa.RecordBatch, spans: list[list[tuple[str, int, int]]]) -> pa.RecordBatch:
+        texts = [rewrite(text, [(a, b, kind) for kind, a, b in own]) if own else text for text, own in zip(part.column(at).to_pylist(), spans, strict=True)]
+        columns = list(part.columns)
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return _through(docs, text_col, docs.schema, cleaned)
