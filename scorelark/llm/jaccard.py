@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelark.llm.common import kept, release, resident
+from scorelark.llm.common import kept, release, resident, vacate
 from scorelark.llm.components import components
 
 WIDTH = 5
@@ -60,7 +60,7 @@ FIRST_TRIES = 8
 #: Bits of the bitmap of shingles that occur again (of ``AGAIN`` times, or more if too many do), and slots of the table of common ones.
 MAP_BITS, SLOT_BITS = 28, 22
 AGAIN = (2, 8, 64, 512)
-WORDS_KNOWN = 1 << 18
+WORDS_KNOWN = 1 << 17
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -145,6 +145,7 @@ def _count_ranges(docs: DataFrame, text_col: str, ranges: int) -> DataFrame:
                     total = 0
         if total:
             yield blocks()
+        vacate()
 
     return docs.select(_data(docs, text_col)).mapInArrow(run, "part long, keys binary, times binary")
 
@@ -239,6 +240,7 @@ def prefixes(docs: DataFrame, known: tuple[bytes, bytes, int], id_col: str = "do
                     every.append(own.view(np.int64))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(sid, pa.int64()), pa.array(grp, pa.int64()), pa.array(tokens, longs), pa.array(rests, pa.list_(pa.int32())), pa.array(every, longs)], names=[id_col, "txt", "n", "odd", "sid", "grp", "tokens", "rests", "shingles"])
+        vacate()
 
     given = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("txt"), _data(docs, text_col))
     return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, {PREFIXES}")
