@@ -6,9 +6,10 @@ partition, so the sums that are shuffled are one row a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelark.functions import lexicons as lx
 from scorelark.functions import text as tx
 
 ACTION, SPECIFICS, OVERUSE, AVOIDED = 12.0, 12.0, 8.0, 8.0
@@ -19,10 +20,6 @@ LENGTH_IDEAL, LENGTH_HARD = (12, 55), (8, 80)
 OVERUSED_FROM = 3
 
 
-def chip(ratio):
-    return F.when(ratio >= 5 / 6, "Good Job!").when(ratio >= 2.5 / 6, "On Track!").otherwise("Needs Work!")
-
-
 def kept_lines(lines: DataFrame) -> DataFrame:
     """Lines that hold more than a glyph."""
     return lines.where(~tx.is_stray(F.col("text")))
@@ -38,16 +35,28 @@ def numbers(lines: DataFrame) -> DataFrame:
     return kept_lines(lines).select("doc_id", n.alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("n") > 0).alias("n_quantified"), F.avg((F.col("n") > 0).cast("double")).alias("share"), F.sum("n").alias("n_numbers"))
 
 
+def bullets(lines: DataFrame) -> DataFrame:
+    """Lines as bullets, ``body`` without its glyph: lists and credentials are none."""
+    body = F.col("body")
+    return kept_lines(lines).withColumn("body", tx.body_text(F.col("text"))).where(~tx.is_list(body) & ~tx.is_credential(body))
+
+
 def specifics(lines: DataFrame) -> DataFrame:
     """Half for quantities, half for tools, less for passive voice."""
-    text = F.col("text")
-    each = kept_lines(lines).select("doc_id", (tx.number_count(text) > 0).cast("double").alias("q"), (F.size(tx.tools(text)) > 0).cast("double").alias("t"), tx.is_passive(text).cast("double").alias("p"))
+    body = F.col("body")
+    each = bullets(lines).select("doc_id", (tx.number_count(body) > 0).cast("double").alias("q"), (F.size(tx.tools(body)) > 0).cast("double").alias("t"), tx.is_passive(body).cast("double").alias("p"))
     shares = each.groupBy("doc_id").agg(F.avg("q").alias("quantified"), F.avg("t").alias("tooled"), F.avg("p").alias("passive"))
     raw = 0.5 * F.least(F.lit(1.0), F.col("quantified") / QUANTIFIED_AT) + 0.5 * F.least(F.lit(1.0), F.col("tooled") / TOOLS_AT)
     less = F.least(F.lit(PASSIVE_MOST), F.col("passive") * PASSIVE_RATE)
     return shares.withColumn("points", F.greatest(F.lit(0.0), F.least(F.lit(SPECIFICS), SPECIFICS * (raw - less))))
 
 
+def poor_sections(lines: DataFrame, by: str) -> DataFrame:
+    """Of the bullets of a group (column ``by``) how many there are and how many hold no quantity, for groups where fewer than ``QUANTIFIED_AT`` of them do."""
+    each = bullets(lines).select(by, (tx.number_count(F.col("body")) == 0).alias("m"))
+    return each.groupBy(by).agg(F.count("*").alias("total"), F.count_if("m").alias("missing")).where(F.col("total") - F.col("missing") < QUANTIFIED_AT * F.col("total"))
+
+
 def avoided(lines: DataFrame) -> DataFrame:
     """Filler words and pronouns of a document, and what they cost."""
     text = F.col("text")
@@ -59,10 +68,10 @@ def avoided(lines: DataFrame) -> DataFrame:
 
 
 def tiers(lines: DataFrame, standard: list[str]) -> DataFrame:
-    """``doc_id``, ``line_no``, ``tier``; list and credential lines are left out, ``detail`` marks lines that state a fact."""
-    text = tx.body_text(F.col("text"))
-    fit = kept_lines(lines).where(~text.rlike(tx.LIST_LABEL) & ~text.rlike(tx.CREDENTIAL))
-    return fit.select("doc_id", "line_no", tx.verb_tier(text, standard).alias("tier"), text.rlike(tx.DETAIL_LABEL).alias("detail"))
+    """``doc_id``, ``line_no``, ``tier``, ``token`` (the word that tells); ``detail`` marks lines that state a fact."""
+    body = F.col("body")
+    each = bullets(lines).select("doc_id", "line_no", tx.verb(body, standard).alias("v"), tx.is_detail(body).alias("detail"))
+    return each.select("doc_id", "line_no", "v.tier", "v.token", "detail")
 
 
 def action(lines: DataFrame, standard: list[str]) -> DataFrame:
@@ -83,37 +92,40 @@ def tools_named(lines: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "tool").agg(F.count("*").alias("n_lines"))
 
 
-def flags(lines: DataFrame) -> DataFrame:
-    """What to mend in a line, in order; lines without a flag stay out."""
-
-    def judge(text):
-        def by_size(n):
-            marks = F.array(
-                F.when((tx.number_count(text) == 0) & (F.size(tx.tools(text)) == 0), F.lit("no specifics")), F.when(tx.is_passive(text), F.lit("passive")),
-                F.when(tx.filler_count(text) + tx.pronoun_count(text) > 0, F.lit("avoided words")),
-                F.when(n < LENGTH_HARD[0], F.lit("too short")).when(n < LENGTH_IDEAL[0], F.lit("short")).when(n > LENGTH_HARD[1], F.lit("too long")).when(n > LENGTH_IDEAL[1], F.lit("long")),
-            )
-            return F.struct(n.alias("n"), F.array_join(F.array_compact(marks), "; ").alias("flags"))
-
-        return tx.bound(F.size(tx.found(text, tx.LENGTH_TOKEN)), by_size)
-
-    # exploded, as a filter on the plain column would have it computed twice
-    each = kept_lines(lines).select("doc_id", "line_no", F.explode_outer(F.array(tx.bound(tx.body_text(F.col("text")), judge))).alias("f"))
-    return each.where("f.flags <> ''").select("doc_id", "line_no", F.col("f.n").cast("int").alias("n_tokens"), "f.flags")
+def flags(lines: DataFrame, standard: list[str]) -> DataFrame:
+    """What to mend in a bullet, in order; bullets without a flag stay out."""
+    body = F.col("body")
+    each = bullets(lines).select("doc_id", "line_no", F.size(tx.found(body, tx.LENGTH_TOKEN)).cast("int").alias("n"), tx.verb(body, standard).alias("v"), tx.is_passive(body).alias("p"), (tx.number_count(body) == 0).alias("q"), (F.size(tx.tools(body)) == 0).alias("t"), tx.avoided(body).alias("a"))
+    n, count = F.col("n"), F.col("n").cast("string")
+    (low, high), (least, most) = LENGTH_IDEAL, LENGTH_HARD
+    marks = F.array(
+        F.when(F.col("v.tier") == "none", "no action verb").when(F.col("v.tier") == "weak", F.concat(F.lit("weak verb “"), F.col("v.token"), F.lit("”"))),
+        F.when(F.col("p"), "passive voice"), F.when(F.col("q"), "no quantification"), F.when(F.col("t"), "no tool or method named"),
+        F.when(F.size("a") > 0, F.concat(F.lit("filler: "), F.array_join(F.slice("a", 1, 4), ", "))),
+        F.when(n < least, F.concat(F.lit("too short ("), count, F.lit(" words)"))).when(n > most, F.concat(F.lit("too long ("), count, F.lit(" words)"))).when(~n.between(low, high), F.concat(F.lit("length "), count, F.lit(f" words (aim {low}-{high})"))),
+    )
+    return each.select("doc_id", "line_no", n.alias("n_tokens"), F.array_join(F.array_compact(marks), "; ").alias("flags")).where("flags <> ''")
 
 
 def overused(lines: DataFrame, verbs: list[str]) -> DataFrame:
-    """Words of four letters or more, taken together by their shortest base, that a document uses three times or more as a verb's past or participle.
+    """Words taken together by their shortest base that a document uses three times or more, half the time as a verb's past or participle: ``doc_id``, ``label``, ``total``, ``rank``.
 
-    ``verbs`` are those that count; two counts, first by form, then by base.
+    ``verbs`` are those that count; words that may be a strong verb don't. Two
+    counts, first by form, then by base; the forms of a word are found once for
+    each document that has it.
     """
-    tok = lines.select("doc_id", F.explode(tx.words(F.col("text"))).alias("w")).select("doc_id", F.lower("w").alias("w")).where(F.length("w") >= 4)
-    tok = tok.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    tok = tok.withColumn("forms", tx.lemmas(F.col("w"))).where(F.arrays_overlap("forms", F.array(*map(F.lit, verbs))))
-    key = F.array_min(F.transform(F.filter("forms", lambda x: F.length(x) >= 4), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    inflected = F.col("w").rlike("(ed|ing)$") | F.col("w").isin(*tx.lx.IRREGULAR_PAST)
-    by_key = tok.groupBy("doc_id", key.alias("base")).agg(F.sum("n").alias("total"), F.sum(F.when(inflected, F.col("n")).otherwise(0)).alias("inflected"), F.array_join(F.array_sort(F.collect_set("w")), "/").alias("label"))
-    return by_key.where((F.col("total") >= OVERUSED_FROM) & (F.col("inflected") * 2 >= F.col("total"))).select("doc_id", "label", "total")
+    # a line without the beginning of any form has none
+    forms = {v[: max(2, len(v) - 1)][:4] for v in verbs} | {past for past, v in lx.IRREGULAR_PAST.items() if v in verbs}
+    may = F.col("text").rlike("(?i)" + tx.any_of(sorted(forms)))
+    tok = lines.where(may).select("doc_id", F.explode(tx.words(F.col("text"))).alias("w")).select("doc_id", F.lower("w").alias("w"))
+    tok = tok.where((F.length("w") >= 4) & ~F.col("w").isin(*lx.STOPWORDS, *lx.PRONOUNS, *lx.ARTICLES)).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    tok = tok.where(tx.form_of(F.col("w"), verbs) & ~tx.form_of(F.col("w"), lx.STRONG_VERBS)).withColumn("forms", tx.lemmas(F.col("w")))
+    key = F.coalesce(F.array_min(F.transform(F.filter("forms", lambda x: F.length(x) >= 4), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"], F.col("w"))
+    inflected = F.col("w").rlike("(ed|ing)$") | F.col("w").isin(*lx.IRREGULAR_PAST)
+    shown = F.concat(F.upper(F.substring("w", 1, 1)), F.substring("w", 2, 1000))
+    by_key = tok.groupBy("doc_id", key.alias("base")).agg(F.sum("n").alias("total"), F.sum(F.when(inflected, F.col("n")).otherwise(0)).alias("inflected"), F.array_join(F.array_sort(F.collect_set(shown)), "/").alias("label"))
+    flagged = by_key.where((F.col("total") >= OVERUSED_FROM) & (F.col("inflected") * 2 >= F.col("total")))
+    return flagged.select("doc_id", "label", "total", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("total"), "label")).alias("rank"))
 
 
 def contacts(lines: DataFrame) -> DataFrame:

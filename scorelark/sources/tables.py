@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelark.rules import Rules
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +18,43 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def text_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """``doc_id`` (the file's path), ``line_no``, ``text`` of all files below a folder, however deep."""
+    """``doc_id`` (the file's path), ``line_no``, ``text`` of all files below a folder, however deep, in the order of their paths within a file's lines."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
     return lines(files.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
 
 
+#: What is known of a cohort that nothing is known of.
+NO_COHORT = {"name": "general", "label": "General cohort", "mean": 62.0, "stdev": 14.0, "n": 0}
+COHORT = "label string, n long, mean double, stdev double, median double, min double, max double, module_means map<string,double>"
+
+
 def cohorts(spark: SparkSession, path: str) -> DataFrame:
-    """Cohort statistics as JSON, with the fields that are public."""
-    return spark.read.option("multiLine", "true").json(path)
+    """Cohort statistics as JSON files, named by their file, with the fields that are public."""
+    files = spark.read.schema(COHORT).option("multiLine", "true").json(path)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("name"), "*")
+
+
+def cohort(spark: SparkSession, rules: Rules, name: str | None = None, path: str | None = None) -> DataFrame:
+    """One cohort: of the rules, else of the files, else the one that stands for none."""
+    name = name or rules["benchmark.default"]
+    inline = rules.get(f"benchmark.{name}")
+    schema = "name string, " + COHORT
+    if isinstance(inline, dict):
+        known = {"name": name} | inline
+    elif path is not None:
+        there = cohorts(spark, path).where(F.col("name") == name)
+        if not there.isEmpty():
+            return there
+        known = NO_COHORT
+    else:
+        known = NO_COHORT
+    fields = [f.split()[0] for f in schema.split(", ")]
+    return spark.createDataFrame([tuple(known.get(f) for f in fields)], schema)
+
+
+def write_cohort(stats: DataFrame, path: str) -> None:
+    """Write cohort statistics as JSON lines."""
+    stats.write.mode("overwrite").json(path)
 
 
 #: Lines that make every rule of the engine fire: document, line, text.
@@ -48,6 +79,14 @@ FIXTURE = [
     (-3, 3, "o joined and used and made; joined using, making; joined, used"),
     (-3, 4, "• ● operated"),
     (-3, 5, "  "),
+    (-4, 0, "Analyzed data in SQL, then analyzed logs; analyzing several reports; a number of people"),
+    (-4, 1, "Provided help, providing support; built and rebuilt, built a tool, building it"),
+    (-4, 2, "Supported 3 teams; supporting them and supported us; developed it, developed that, developing this"),
+    (-4, 3, "Their work was quickly and carefully reviewed; reference on request"),
+    (-4, 4, "Skills: 2019 workshop presented by her"),
+    (-4, 5, "Incoming analyst, 2025; expected to lead"),
+    (-5, 0, "Engineered a Python model that cut cost by 40% for five teams and saved much time."),
+    (-5, 1, "Automated twelve dashboards in Tableau with SQL and raised use by 30% within two months."),
 ]
 
 
