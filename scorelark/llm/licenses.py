@@ -106,13 +106,14 @@ def _cut(phrases, templates) -> list[tuple[int, str, list[str], int, int, bool]]
 
 def _runs(spark: SparkSession, phrases, templates) -> DataFrame:
     """(h, run, tpl, label, at, size, k, gap, phrase): every run of words of the templates."""
-    rows = [(None, EACH, "", 0, 0, 0, 1, False)]
+    rows = [([], EACH, "", 0, 0, 0, 1, False)]
     for tpl, label, words, k, gap, phrase in _cut(phrases, templates):
-        rows += [(" ".join(words[at : at + k]), tpl, label, at, len(words) - k + 1, k, gap, phrase) for at in range(len(words) - k + 1)]
+        rows += [(words[at : at + k], tpl, label, at, len(words) - k + 1, k, gap, phrase) for at in range(len(words) - k + 1)]
     if len(rows) > MAX_RUNS:
         raise ValueError(f"{len(rows)} runs of words; templates of up to {MAX_RUNS} are broadcast")
-    frame = spark.createDataFrame(rows, "run string, tpl int, label string, at int, size int, k int, gap int, phrase boolean")
-    return frame.withColumn("h", F.when(F.col("tpl") == EACH, F.lit(EACH).cast("long")).otherwise(F.xxhash64("run")))
+    frame = spark.createDataFrame(rows, "run array<string>, tpl int, label string, at int, size int, k int, gap int, phrase boolean")
+    hashes = [F.when(F.col("k") == k, F.xxhash64(*(F.get("run", F.lit(i)) for i in range(k)))) for k in RUNS]
+    return frame.withColumn("h", F.coalesce(*hashes, F.lit(EACH).cast("long")))
 
 
 def words_of(text):
@@ -128,25 +129,21 @@ def _votes(docs: DataFrame, phrases, templates, id_col: str, text_col: str) -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), words_of(text).alias("w"))
     more = max(RUNS) - 1
-    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRETCH_WORDS)), lambda i: F.struct(i.alias("from"), F.slice("w", i + 1, F.lit(STRETCH_WORDS + more)).alias("w")))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRETCH_WORDS)), lambda i: F.struct(i.alias("from"), F.slice("w", i + 1, F.lit(STRETCH_WORDS + more)).alias("w")))
+    stretches = F.when(F.size("w") <= STRETCH_WORDS, F.array(F.struct(F.lit(0).alias("from"), F.col("w")))).otherwise(parts)
     # outer forms: for inner ones the optimiser adds a filter that splits the text again
     cut = given.select("__id", "__text", F.size("w").cast("long").alias("n_words"), F.explode_outer(stretches).alias("s")).select(*KEY, F.col("s.from").alias("from"), F.col("s.w").alias("w"))
 
-    def runs(k: int):
-        def run(x, i):
-            words = F.concat_ws(" ", F.slice("w", i + 1, k)) if k > 2 else F.concat(x, F.lit(" "), F.get("w", i + 1))
-            return F.struct(F.when(i < STRETCH_WORDS, F.xxhash64(words)).alias("h"), words.alias("run"))
+    def hashes(k: int):
+        return F.transform("w", lambda x, i: F.when(i < STRETCH_WORDS, F.xxhash64(x, *(F.get("w", i + j) for j in range(1, k)))))
 
-        return F.transform("w", run)
-
-    one = F.when(F.col("from") == 0, F.array(F.struct(F.lit(EACH).cast("long").alias("h"), F.lit(None).cast("string").alias("run"))))
-    one = F.coalesce(one, F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("run"))))
-    rolled = cut.select(*KEY, "from", F.size("w").alias("m"), F.posexplode_outer(F.concat(one, *map(runs, RUNS))).alias("pos", "x"))
-    rolled = rolled.select(*KEY, "from", "m", "pos", F.col("x.h").alias("h"), F.col("x.run").alias("said"))
+    each = F.when(F.col("from") == 0, F.lit(EACH).cast("long"))
+    rolled = cut.withColumn("h", F.concat(F.array(each), *map(hashes, RUNS))).select(*KEY, "from", "w", F.posexplode_outer("h").alias("pos", "h"))
+    # the hash is the key; the words decide. They are looked up for hits only: the array goes along by reference
     hits = rolled.join(F.broadcast(_runs(docs.sparkSession, phrases, templates)), "h")
-    # the hash is the key; the words decide. (Written so that they don't become a part of the key.)
-    hits = hits.where((F.col("tpl") == EACH) | F.col("said").startswith(F.col("run")) & F.col("run").startswith(F.col("said")))
-    word = (F.col("from") + F.pmod(F.col("pos") - 1, F.greatest("m", F.lit(1)))).cast("long")
+    place = F.pmod(F.col("pos") - 1, F.greatest(F.size("w"), F.lit(1)))
+    hits = hits.where((F.col("tpl") == EACH) | (F.slice("w", place + 1, F.col("k")) == F.col("run")))
+    word = (F.col("from") + place).cast("long")
     at = hits.select(*KEY, "tpl", "label", "size", "k", "gap", "phrase", "at", F.when(F.col("tpl") == EACH, 0).otherwise(word).alias("word"))
     # a text's hits come from one task, so they are gathered there before they move
     return at.groupBy(*KEY, "tpl", "label", "size", "k", "gap", "phrase", (F.col("word") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("word").alias("low"), F.max("word").alias("high"), F.count("*").alias("copies"))
