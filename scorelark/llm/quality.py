@@ -252,10 +252,10 @@ def _at_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
     Up to ``SITES_SENT`` sites are sent to all tasks. More are joined, and sites
     with a thousandth of all rows, a thousand at most, by salt: no task gets one whole.
     """
-    n, rows = sites.agg(F.count("*"), F.sum("n")).first()
+    n, rows = sites.agg(F.count("*"), F.sum("__n")).first()
     if n <= SITES_SENT:
         return scored.join(F.broadcast(sites), ["__host", "__path"])
-    hot = F.col("n") * HOT >= F.lit(rows)
+    hot = F.col("__n") * HOT >= F.lit(rows)
     salts = F.when(hot, F.lit(SALTS)).otherwise(F.lit(1))
     spread = sites.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     busy = sites.where(hot).select("__host", "__path", F.lit(True).alias("__hot"))
@@ -270,8 +270,8 @@ def decide(scored: DataFrame, sites: DataFrame, models: dict[str, Model], host_c
     named_as = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))  # noqa: E731 - a site without a name is a site
     named = scored.withColumns({"__host": named_as(F.col(host_col)), "__path": named_as(F.col(path_col))})
     fields = ["n", "host_n", *(f"{t}_{x}" for t in models for x in ("sum", "host", "all", "host_k", "path_k"))]
-    known = sites.select(named_as(F.col("host")).alias("__host"), named_as(F.col("path")).alias("__path"), "n", F.struct(*fields).alias("__s"))
-    out = _at_sites(named, known.select("__host", "__path", F.col("n"), "__s"))
+    known = sites.select(named_as(F.col("host")).alias("__host"), named_as(F.col("path")).alias("__path"), F.col("n").alias("__n"), F.struct(*fields).alias("__s"))
+    out = _at_sites(named, known)
     found = {}
     for t in models:
         s, own = (lambda x: F.col(f"__s.{x}")), _chance(F.col(f"__{t}"))

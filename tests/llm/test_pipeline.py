@@ -81,3 +81,22 @@ def test_empty_documents(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.kept(stage(spark, docs, at), name)
         assert docs.count() == 0
+
+
+CLASHING = ["n", "host", "path", "sid", "grp", "first", "txt", "key", "term", "kind", "leaks", "spans", "component_id", "data", "keep"]
+
+
+def test_repeated_rows_long_texts_and_columns_with_clashing_names(spark, tables):
+    at, items = tables
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(60_000)) + " write to jo@long.example.com"
+    more = spark.createDataFrame([(900, long, "en", "s1", len(long))] * 3 + [(901, long + " end", "fr", "s2", len(long) + 4), (902, "hello " + items[0][1], "en", "s1", 5), (902, "hello " + items[0][1], "en", "s1", 5)], SCHEMA)
+    wide = docs.unionByName(more)
+    for name in CLASHING:
+        wide = wide.withColumn(name, wide.doc_id.cast("string"))
+    for name, stage in corpus_pipeline.STAGES:
+        wide = corpus_pipeline.kept(stage(spark, wide, at), name)
+        if name != "byte_level_bpe":
+            assert wide.columns == [*docs.columns, *CLASHING] and wide.where("doc_id <> CAST(n AS LONG)").count() == 0
+    got = [r.doc_id for r in wide.collect()]
+    assert len(got) == len(set(got)) and 900 in got and 901 not in got and 902 not in got
