@@ -193,6 +193,22 @@ def difference(before: DataFrame, after: DataFrame, keys: list[str], points: str
     return both.select(*keys, b.alias("before"), a.alias("after"), (a - b).alias("change")).where(F.abs(F.col("change")) > 0.05)
 
 
+def rolled_up(found: DataFrame) -> DataFrame:
+    """What is lost by part, by module, and in all (nulls stand for all): ``doc_id``, ``module``, ``part``, ``lost``, ``n``."""
+    out = found.rollup("doc_id", "module", "part").agg(F.sum("points_lost").alias("lost"), F.count("*").alias("n"))
+    return out.where(F.col("doc_id").isNotNull())
+
+
+def modules_apart(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, module, before, after, change) of the modules and the whole of two scores; a module that the first lacks counts 0 there."""
+    def each(cards: DataFrame, name: str) -> DataFrame:
+        rows = F.explode(F.array(*(F.struct(F.lit(m).alias("module"), F.col(m).alias(name)) for m in (*MODULES, "overall"))))
+        return cards.select("doc_id", rows.alias("x")).select("doc_id", "x.*")
+
+    both = each(after, "after").join(each(before, "before"), ["doc_id", "module"], "left").withColumn("before", F.coalesce("before", F.lit(0.0)))
+    return both.select("doc_id", "module", "before", "after", (F.col("after") - F.col("before")).alias("change"))
+
+
 def anchors(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """How far scores lie from those given (``doc_id``, ``given``): their number, the mean and the largest error."""
     off = F.abs(F.col("overall") - F.col("given"))

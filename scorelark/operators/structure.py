@@ -230,6 +230,19 @@ SPACED_DASH = r"^\s[-–—]\s$"
 FOREVER = 9999 * 12
 
 
+def month_style(token: Column) -> Column:
+    """full or abbreviated; null for May, which is spelled alike, and for what is no month."""
+    low = F.regexp_replace(F.lower(token), r"^\.+|\.+$", "")
+    return F.when(low.isin(*lx.FULL_MONTHS), "full").when(low.isin(*lx.ABBREVIATED_MONTHS), "abbrev")
+
+
+def date_style(raw: Column) -> Column:
+    """numeric, full-month (May counts as full), abbrev-month, year-only or other."""
+    low = F.lower(raw)
+    named = lambda names: low.rlike(rf"\b{tx.any_of(names)}\b")
+    return F.when(low.rlike(r"\b(?:0?[1-9]|1[0-2])[/-](?:19|20)?\d{2}\b"), "numeric").when(named(lx.MONTHS), "full-month").when(named(lx.ABBREVIATED_MONTHS), "abbrev-month").when(low.rlike(tx.YEAR), "year-only").otherwise("other")
+
+
 def _ordinal(part, default: int):
     month = F.lower(F.regexp_extract(part, rf"(?i)({_MONTH})", 1))
     index = F.create_map(*(F.lit(x) for k, m in enumerate(lx.MONTHS_SHORT, 1) for x in (m, k)))
