@@ -64,9 +64,9 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
 
 
-def word_hits(text: Column, listed) -> Column:
-    """How many words of a line are among those listed, whatever their case."""
-    return F.size(found(F.lower(spaced(text)), f" {any_of(listed)}(?= )"))
+def word_hits(text: Column, listed, sp: Column | None = None) -> Column:
+    """How many words of a line are among those listed, whatever their case. ``sp``, here and below: ``spaced(text)``, if it is there already."""
+    return F.size(found(F.lower(spaced(text) if sp is None else sp), f" {any_of(listed)}(?= )"))
 
 
 def stripped(text: Column) -> Column:
@@ -129,10 +129,12 @@ def numbers(text: Column) -> Column:
     return F.concat(F.transform(found(masked, NUMBER), lambda x: F.trim(x)), found(masked, RATIO), found(text, ROMAN), spelled)
 
 
-def number_count(text: Column) -> Column:
+def number_count(text: Column, sp: Column | None = None) -> Column:
     """How many quantities a line has."""
     masked = F.regexp_replace(text, YEAR, " ")
-    return F.size(found(masked, NUMBER)) + F.size(found(masked, RATIO)) + F.size(found(text, ROMAN)) + word_hits(text, lx.SPELLED_NUMBERS)
+    # without a digit there is neither a number nor a ratio
+    digits = F.when(text.rlike("[0-9]"), F.size(found(masked, NUMBER)) + F.size(found(masked, RATIO))).otherwise(F.lit(0))
+    return digits + F.size(found(text, ROMAN)) + word_hits(text, lx.SPELLED_NUMBERS, sp)
 
 
 def phrase_count(text: Column, phrases) -> Column:
@@ -146,25 +148,25 @@ def phrase_count(text: Column, phrases) -> Column:
 _SAID = f" (?:(?=[^ ]*[a-z])(?i:{any_of(lx.FIRST_PERSON)})(?= )|{any_of([w.upper() for w in lx.FIRST_PERSON])}(?= [a-z]))"
 
 
-def pronoun_count(text: Column) -> Column:
+def pronoun_count(text: Column, sp: Column | None = None) -> Column:
     """First and second person, and phrases of them. One in capitals counts only before a word in lower case."""
-    return F.size(found(spaced(text), _SAID)) + phrase_count(text, lx.PRONOUN_PHRASES)
+    return F.size(found(spaced(text) if sp is None else sp, _SAID)) + phrase_count(text, lx.PRONOUN_PHRASES)
 
 
 #: Words that are counted as filler. Buzzwords of several words never equal one word.
 FILLERS = [w for w in (*lx.FILLER_ADVERBS, *lx.BUZZWORDS, *lx.ARTICLES) if " " not in w]
 
 
-def filler_count(text: Column) -> Column:
-    return word_hits(text, FILLERS) + phrase_count(text, lx.WEASEL_PHRASES)
+def filler_count(text: Column, sp: Column | None = None) -> Column:
+    return word_hits(text, FILLERS, sp) + phrase_count(text, lx.WEASEL_PHRASES)
 
 
-def avoided(text: Column) -> Column:
+def avoided(text: Column, sp: Column | None = None) -> Column:
     """The distinct expressions of a line that a bullet should do without, sorted: more than those that cost points."""
     low = F.lower(text)
     padded = F.concat(F.lit(" "), low, F.lit(" "))
     listed = (*lx.FILLER_ADVERBS, *lx.PRONOUNS, *(w for w in lx.BUZZWORDS if " " not in w), *lx.ARTICLES)
-    single = F.regexp_extract_all(F.lower(spaced(text)), F.lit(f" ({any_of(listed)})(?= )"), F.lit(1))
+    single = F.regexp_extract_all(F.lower(spaced(text) if sp is None else sp), F.lit(f" ({any_of(listed)})(?= )"), F.lit(1))
     vague = found(low, rf"\b{any_of([w for w in lx.VAGUE_QUANTIFIERS if ' ' not in w])}\b")
     several = [w for w in lx.VAGUE_QUANTIFIERS if " " in w]
     phrases = [F.when(padded.contains(f" {p} ") | stripped(low).startswith(p), p) for p in lx.WEASEL_PHRASES] + [F.when(padded.contains(f" {p} "), p) for p in several]
@@ -175,9 +177,9 @@ def avoided(text: Column) -> Column:
 _PARTICIPLE = f"(?:{any_of(lx.IRREGULAR_PARTICIPLES)}|(?!{any_of(lx.WEAK_VERBS)} )[^ ]{{3,}}ed)"
 
 
-def is_passive(text: Column) -> Column:
+def is_passive(text: Column, sp: Column | None = None) -> Column:
     """A form of be or get, and a participle among the next two words."""
-    return F.lower(spaced(text)).rlike(f" {any_of(lx.BE_VERBS)} (?:[^ ]+ )?{_PARTICIPLE} ")
+    return F.lower(spaced(text) if sp is None else sp).rlike(f" {any_of(lx.BE_VERBS)} (?:[^ ]+ )?{_PARTICIPLE} ")
 
 
 def _endings(tok: Column) -> list[Column]:

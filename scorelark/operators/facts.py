@@ -106,13 +106,13 @@ def features(lines: DataFrame, standard: list[str], terms: dict[str, list[str]],
     out = base.withColumns({
         "is_unit": unit, "is_detail": tx.is_detail(body),
         "is_scored": (F.col("role") == "bullet") & ~skipped(skip) & ~tx.is_list(body) & ~tx.is_credential(body),
-        "n_counted": tx.word_count(body), "n_text": tx.word_count(F.col("text")), "marked": (F.col("role") == "bullet") | F.coalesce(F.col("is_bullet"), F.lit(False)) & (F.col("section") > 0),
+        "spaced": tx.spaced(body), "n_counted": tx.word_count(body), "n_text": tx.word_count(F.col("text")), "marked": (F.col("role") == "bullet") | F.coalesce(F.col("is_bullet"), F.lit(False)) & (F.col("section") > 0),
     })
     when = lambda cond, value, other: F.when(cond, value).otherwise(other)
-    scored, said = F.col("is_scored"), F.col("is_unit")
+    scored, said, sp = F.col("is_scored"), F.col("is_unit"), F.col("spaced")
     own = {
-        "verb": F.when(scored, tx.verb(body, standard)), "n_numbers": when(scored, tx.number_count(body), 0), "tools": F.when(scored, tx.tools(body)),
-        "passive": when(scored, tx.is_passive(body), False), "n_filler": when(said, tx.filler_count(body), 0), "n_pronouns": when(said, tx.pronoun_count(body), 0),
+        "verb": F.when(scored, tx.verb(body, standard)), "n_numbers": when(scored, tx.number_count(body, sp), 0), "tools": F.when(scored, tx.tools(body)),
+        "passive": when(scored, tx.is_passive(body, sp), False), "n_filler": when(said, tx.filler_count(body, sp), 0), "n_pronouns": when(said, tx.pronoun_count(body, sp), 0),
         "over": F.when(said & ~skipped(rules["impact.overuse_rules.skip_sections"]), overused_tokens(body)),
         "ended": body.rlike(r"[.!?]\s*$"),
         "said": F.when((F.col("section") > 0) & (F.col("role") != "heading") & ~skipped(rules["competencies.skip_sections"]) & ~((F.col("role") == "header") & tx.is_date_only(body)), F.lower(body)),

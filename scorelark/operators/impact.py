@@ -38,13 +38,14 @@ def numbers(lines: DataFrame) -> DataFrame:
 def bullets(lines: DataFrame) -> DataFrame:
     """Lines as bullets, ``body`` without its glyph: lists and credentials are none."""
     body = F.col("body")
-    return kept_lines(lines).withColumn("body", tx.body_text(F.col("text"))).where(~tx.is_list(body) & ~tx.is_credential(body))
+    fit = kept_lines(lines).withColumn("body", tx.body_text(F.col("text"))).where(~tx.is_list(body) & ~tx.is_credential(body))
+    return fit.withColumn("sp", tx.spaced(body))
 
 
 def specifics(lines: DataFrame) -> DataFrame:
     """Half for quantities, half for tools, less for passive voice."""
     body = F.col("body")
-    each = bullets(lines).select("doc_id", (tx.number_count(body) > 0).cast("double").alias("q"), (F.size(tx.tools(body)) > 0).cast("double").alias("t"), tx.is_passive(body).cast("double").alias("p"))
+    each = bullets(lines).select("doc_id", (tx.number_count(body, F.col("sp")) > 0).cast("double").alias("q"), (F.size(tx.tools(body)) > 0).cast("double").alias("t"), tx.is_passive(body, F.col("sp")).cast("double").alias("p"))
     shares = each.groupBy("doc_id").agg(F.avg("q").alias("quantified"), F.avg("t").alias("tooled"), F.avg("p").alias("passive"))
     raw = 0.5 * F.least(F.lit(1.0), F.col("quantified") / QUANTIFIED_AT) + 0.5 * F.least(F.lit(1.0), F.col("tooled") / TOOLS_AT)
     less = F.least(F.lit(PASSIVE_MOST), F.col("passive") * PASSIVE_RATE)
@@ -60,7 +61,7 @@ def poor_sections(lines: DataFrame, by: str) -> DataFrame:
 def avoided(lines: DataFrame) -> DataFrame:
     """Filler words and pronouns of a document, and what they cost."""
     text = F.col("text")
-    each = lines.select("doc_id", F.size(tx.words(text)).alias("w"), tx.filler_count(text).alias("f"), tx.pronoun_count(text).alias("p"))
+    each = lines.withColumn("sp", tx.spaced(text)).select("doc_id", F.size(tx.words(text)).alias("w"), tx.filler_count(text, F.col("sp")).alias("f"), tx.pronoun_count(text, F.col("sp")).alias("p"))
     sums = each.groupBy("doc_id").agg(F.sum("w").alias("n_words"), F.sum("f").alias("n_filler"), F.sum("p").alias("n_pronouns"))
     lost = AVOIDED * F.least(F.lit(1.0), FILLER_SHARE * F.least(F.lit(1.0), F.col("n_filler") / FILLER_FULL) + PRONOUN_SHARE * F.least(F.lit(1.0), F.col("n_pronouns") / PRONOUN_FULL))
     state = F.when(F.col("n_pronouns") > 0, "Needs Work!").when(F.col("n_filler") > 0, "On Track!").otherwise("Good Job!")
@@ -95,7 +96,7 @@ def tools_named(lines: DataFrame) -> DataFrame:
 def flags(lines: DataFrame, standard: list[str]) -> DataFrame:
     """What to mend in a bullet, in order; bullets without a flag stay out."""
     body = F.col("body")
-    each = bullets(lines).select("doc_id", "line_no", F.size(tx.found(body, tx.LENGTH_TOKEN)).cast("int").alias("n"), tx.verb(body, standard).alias("v"), tx.is_passive(body).alias("p"), (tx.number_count(body) == 0).alias("q"), (F.size(tx.tools(body)) == 0).alias("t"), tx.avoided(body).alias("a"))
+    each = bullets(lines).select("doc_id", "line_no", F.size(tx.found(body, tx.LENGTH_TOKEN)).cast("int").alias("n"), tx.verb(body, standard).alias("v"), tx.is_passive(body, F.col("sp")).alias("p"), (tx.number_count(body, F.col("sp")) == 0).alias("q"), (F.size(tx.tools(body)) == 0).alias("t"), tx.avoided(body, F.col("sp")).alias("a"))
     n, count = F.col("n"), F.col("n").cast("string")
     (low, high), (least, most) = LENGTH_IDEAL, LENGTH_HARD
     marks = F.array(

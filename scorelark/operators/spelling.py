@@ -69,15 +69,8 @@ def derivable(words: DataFrame, known: DataFrame) -> DataFrame:
     return explained(words, known, candidates(F.col("word")))
 
 
-def unknown(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, text_col: str = "text", strict: bool = True, commonwealth: bool = True) -> DataFrame:
-    """Words of three letters or more that nothing explains: ``doc_id``, ``form``, ``n``, ``colour``, ``first``.
-
-    ``known`` is the vocabulary with the words that are never asked about; ``names``
-    (``doc_id``, ``word``) are a document's own. Compounds pass if each part is
-    known, short, or an ending or beginning. Without ``strict``, so do words that
-    look technical, names, and forms of known words. The first form of a word
-    stands for it; plurals go with their singular: the longest form stays, the first on a tie.
-    """
+def forms(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, text_col: str = "text", commonwealth: bool = True) -> DataFrame:
+    """``doc_id``, ``word``, ``n``, ``first``, ``form``: the words of three letters or more that are neither listed, nor names, nor compounds of known parts."""
     known = known.select("word").distinct()
     cleaned = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ADDRESS, " ")
     tok = docs.select("doc_id", F.posexplode(F.regexp_extract_all(cleaned, F.lit(TOKEN), F.lit(0))).alias("pos", "w"))
@@ -88,19 +81,31 @@ def unknown(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, t
     tok = tok.where(always | ~F.col("word").isin(*fine)).join(listed, "word", "left_anti")
     if names is not None:
         tok = tok.join(names.select("doc_id", "word").distinct(), ["doc_id", "word"], "left_anti")
-    forms = tok.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("w", "pos").alias("form"))
+    found = tok.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("w", "pos").alias("form"))
     # compounds are few, and so are their parts
     apart = F.filter(F.split("word", r"[-'/]"), lambda p: p != "")
     free = F.filter(apart, lambda p: (F.length(p) >= SHORTEST) & ~p.isin(*lx.BEGINNINGS, *lx.SUFFIXES))
-    compounds = forms.where(F.col("word").rlike(r"[-'/]") & ~always)
+    compounds = found.where(F.col("word").rlike(r"[-'/]") & ~always)
     passed = explained(compounds.where(F.size(apart) > 1), known, F.array(free)).unionByName(compounds.where((F.size(apart) > 1) & (F.size(free) == 0)).select("word")).distinct()
-    forms = forms.join(passed, "word", "left_anti")
+    return found.join(passed, "word", "left_anti")
+
+
+def unknown(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, text_col: str = "text", strict: bool = True, commonwealth: bool = True) -> DataFrame:
+    """Words of three letters or more that nothing explains: ``doc_id``, ``form``, ``n``, ``colour``, ``first``.
+
+    ``known`` is the vocabulary with the words that are never asked about; ``names``
+    (``doc_id``, ``word``) are a document's own. Compounds pass if each part is
+    known, short, or an ending or beginning. Without ``strict``, so do words that
+    look technical, names, and forms of known words. The first form of a word
+    stands for it; plurals go with their singular: the longest form stays, the first on a tie.
+    """
+    found, always = forms(docs, known, names, text_col, commonwealth), F.col("word").isin(*lx.ALWAYS_UNKNOWN)
     if not strict:
         technical = F.col("form").rlike(r"[0-9]") | F.substring("form", 2, 200).rlike("[A-Z]") | (F.col("form") == F.upper("form")) & (F.length("form") <= 6)
         name = F.col("form").rlike(r"^\p{Lu}") & (F.substring("form", 2, 200) == F.lower(F.substring("form", 2, 200)))
-        forms = forms.where(always | ~technical & ~name)
-        forms = forms.join(derivable(forms.where(~always), known), "word", "left_anti")
-    merged = forms.groupBy("doc_id", F.regexp_replace("word", "s+$", "").alias("stem")).agg(F.sum("n").alias("n"), F.max_by(F.struct("form", "first"), F.struct(F.length("form"), -F.col("first"))).alias("x"))
+        found = found.where(always | ~technical & ~name)
+        found = found.join(derivable(found.where(~always), known), "word", "left_anti")
+    merged = found.groupBy("doc_id", F.regexp_replace("word", "s+$", "").alias("stem")).agg(F.sum("n").alias("n"), F.max_by(F.struct("form", "first"), F.struct(F.length("form"), -F.col("first"))).alias("x"))
     return merged.select("doc_id", F.col("x.form").alias("form"), "n", colour(F.col("x.form")).alias("colour"), F.col("x.first").alias("first"))
 
 

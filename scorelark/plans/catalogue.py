@@ -288,6 +288,27 @@ def spell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.score(_unknown(spark, sf_dir))
 
 
+def _derived() -> str:
+    """(word, ps): the words that a word of ``u`` may be derived from, or be made of."""
+    out = []
+    for x in lx.SUFFIXES:
+        k = len(x)
+        stems = [f"substr(word, 1, length(word) - {k})"] + ([f"substr(word, 1, length(word) - {k}) || 'e'", f"substr(word, 1, length(word) - {k}) || 'y'", f"substr(word, 1, length(word) - {k + 1})"] if x[0] in "aeiouy" else [])
+        out += [f"SELECT word, [{stem}] AS ps FROM u WHERE ends_with(word, '{x}') AND length(word) - {k} >= 4 AND length({stem}) >= 4" for stem in stems]
+    out += [f"SELECT word, [substr(word, {len(x) + 1})] FROM u WHERE starts_with(word, '{x}') AND length(word) - {len(x)} >= 4" for x in lx.BEGINNINGS]
+    out.append("SELECT word, [substr(word, 1, i), substr(word, i + 1)] FROM (SELECT word, unnest(range(4, length(word) - 2)) AS i FROM u)")
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH {SPELL_SQL}, u AS (SELECT DISTINCT word FROM su WHERE length(word) >= 5), c AS (SELECT word, ps, row_number() OVER () AS i FROM ({_derived()})), p AS (SELECT word, i, unnest(ps) AS p FROM c)
+SELECT DISTINCT p.word FROM p LEFT JOIN known ON p = known.word GROUP BY p.word, i HAVING bool_and(known.word IS NOT NULL)""")
+def compound_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unknown words that are forms or compounds of known ones, which a lenient check lets pass."""
+    known = spelling.vocabulary(table(spark, sf_dir, "benchmark"))
+    each = spelling.forms(_texts(spark, sf_dir), known).select("word").distinct()
+    return spelling.derivable(each, known)
+
+
 @query(r"""WITH b AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*')) AS b, generate_subscripts(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*'), 1) - 1 AS line_no FROM pages),
 l AS (SELECT doc_id, line_no, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) AS tag, trim(regexp_replace(b, '^<[^>]*>', ''), ' ') AS text FROM b),
 s AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM l)
@@ -478,6 +499,24 @@ def essential_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.essential(structure.canonical(_headings(spark)))
 
 
+@query(f"WITH {HEAD_SQL} SELECT doc_id, CASE WHEN count(*) FILTER (canonical IN ({lx.quoted(lx.EXTRACURRICULAR)})) > 0 THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END AS points, coalesce(string_agg(heading, ', ' ORDER BY heading) FILTER (canonical IN ({lx.quoted(lx.EXTRACURRICULAR)})), '') AS sections FROM canon GROUP BY doc_id")
+def extracurriculars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points for a section on what lies beside study and work."""
+    own = F.when(F.col("canonical").isin(*lx.EXTRACURRICULAR), F.col("heading"))
+    found = structure.canonical(_headings(spark)).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(own)), ", ").alias("sections"), F.count(own).alias("n"))
+    return found.select("doc_id", F.when(F.col("n") > 0, 6.0).otherwise(0.0).alias("points"), "sections")
+
+
+STYLES = [("05/2024", "numeric", None), ("12-19", "numeric", None), ("May 2026", "full-month", None), ("December 2027", "full-month", "full"), ("Sept 2021", "abbrev-month", "abbrev"), ("Jan. 2021", "abbrev-month", "abbrev"), ("2019", "year-only", None), ("soon", "other", None)]
+
+
+@query("SELECT a AS raw, b AS style, c AS month FROM (VALUES " + ", ".join(f"('{a}', '{b}', {'NULL' if c is None else repr(c)})" for a, b, c in STYLES) + ") AS v(a, b, c)")
+def date_style_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How given dates are written, and what style their months show, against what the rules make of them."""
+    raw = F.col("raw")
+    return spark.createDataFrame([(a,) for a, _, _ in STYLES], "raw string").select("raw", structure.date_style(raw).alias("style"), structure.month_style(F.regexp_extract(raw, r"^([A-Za-z]+\.?)", 1)).alias("month"))
+
+
 #: Words of two small pages, with rows that drift and rows that don't.
 WORDS = [(d, 1, k, f"w{d}{k}", 72.0 + 40.0 * (k % 3) + d, 100.0 + 40.0 * (k % 3), 50.0 + 2.0 * (k % 3) + 14.0 * (k // 3) + (1.5 * k if d else 0.0), 60.0 + 14.0 * (k // 3) + (1.5 * k if d else 0.0), 9.0 + (k % 2)) for d in range(2) for k in range(12)]
 WORDS_DDL = "doc_id long, page int, word_pos int, text string, x0 double, x1 double, top double, bottom double, size double"
@@ -547,16 +586,22 @@ def date_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ("analytical", "communication", "leadership", "teamwork", "initiative")
 
 
-@query(f"""WITH {LINES_SQL}, b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM benchmark), terms AS (SELECT term, [{lx.quoted(NAMES)}][length(term) % 5 + 1] AS competency FROM b),
-t AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+&''/-]*')) AS term FROM lines),
+GRAM = "[a-z0-9][a-z0-9+&'/-]*"
+_PAIRS = "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
+
+
+@query(f"""WITH {LINES_SQL}, b AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[a-z]{{4,}}'), {_PAIRS})) AS term FROM (SELECT text, {_all('lower(text)', GRAM)} AS ws FROM benchmark)), terms AS (SELECT term, [{lx.quoted(NAMES)}][length(term) % 5 + 1] AS competency FROM b),
+t AS (SELECT DISTINCT doc_id, line_no, unnest(list_concat(ws, {_PAIRS})) AS term FROM (SELECT doc_id, line_no, {_all('lower(text)', GRAM)} AS ws FROM lines)),
 g AS (SELECT doc_id, competency, count(DISTINCT line_no) AS n_lines, count(DISTINCT term) AS n_terms FROM t JOIN terms USING (term) GROUP BY ALL),
 p AS (SELECT *, round_even(6.0::DOUBLE * least(1.0::DOUBLE, n_terms / 5.0::DOUBLE) / 0.5::DOUBLE, 0) * 0.5::DOUBLE AS points FROM g)
 SELECT *, CASE WHEN points >= 5 THEN 'Good Job!' WHEN points >= 2.5 THEN 'On Track!' ELSE 'Needs Work!' END AS status FROM p""")
 def competency_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of four letters or more of the benchmark stand in for the terms, dealt to competencies by their length."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
+    """Words of four letters or more and pairs of words of the benchmark stand in for the terms, dealt to competencies by their length."""
+    low = F.lower("text")
+    every = F.concat(F.regexp_extract_all(low, F.lit("[a-z]{4,}"), F.lit(0)), F.filter(competencies.grams(F.regexp_extract_all(low, F.lit(GRAM), F.lit(0)), 2), lambda g: g.contains(" ")))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(every).alias("term")).distinct()
     terms = words.select("term", F.element_at(F.array(*map(F.lit, NAMES)), F.length("term") % 5 + 1).alias("competency"))
-    return competencies.points(competencies.found(_lines(spark, sf_dir), terms, 1))
+    return competencies.points(competencies.found(_lines(spark, sf_dir), terms, 2))
 
 
 PROFILE = [("references", 0), ("ending", 1), ("length", 2)]
