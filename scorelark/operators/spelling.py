@@ -82,12 +82,16 @@ def forms(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, tex
     if names is not None:
         tok = tok.join(names.select("doc_id", "word").distinct(), ["doc_id", "word"], "left_anti")
     found = tok.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("w", "pos").alias("form"))
-    # compounds are few, and so are their parts
+    # a compound is a row for each part that has to be known; any other word, and its row here, has a part that never is
     apart = F.filter(F.split("word", r"[-'/]"), lambda p: p != "")
     free = F.filter(apart, lambda p: (F.length(p) >= SHORTEST) & ~p.isin(*lx.BEGINNINGS, *lx.SUFFIXES))
-    compounds = found.where(F.col("word").rlike(r"[-'/]") & ~always)
-    passed = explained(compounds.where(F.size(apart) > 1), known, F.array(free)).unionByName(compounds.where((F.size(apart) > 1) & (F.size(free) == 0)).select("word")).distinct()
-    return found.join(passed, "word", "left_anti")
+    compound = F.when(F.col("word").rlike(r"[-'/]") & ~always, F.size(apart) > 1).otherwise(F.lit(False))
+    parts = F.when(compound, free).otherwise(F.array(F.concat(F.lit("\0"), F.col("word"))))
+    pieces = found.select("*", F.explode(parts).alias("piece"))
+    there = sent(known.select(F.col("word").alias("piece")).withColumn("there", F.lit(True)))
+    # the words are dealt by document and word already, so this takes no exchange; a compound without such parts has no row, and passes
+    judged = pieces.join(there, "piece", "left").groupBy("doc_id", "word").agg(*(F.first(c).alias(c) for c in ("n", "first", "form")), F.bool_and(F.coalesce("there", F.lit(False))).alias("passes"))
+    return judged.where(~F.col("passes")).drop("passes")
 
 
 def unknown(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, text_col: str = "text", strict: bool = True, commonwealth: bool = True) -> DataFrame:

@@ -152,17 +152,24 @@ def structured(documents: DataFrame, loose: bool = False, headings: bool = True)
     ``loose``: a document without a heading is one section of bullets; otherwise all of its lines are its contact block.
     Without ``headings`` none is looked for.
     """
-    lines = F.col("lines")
-    sized = documents.withColumn("body", body_size(lines) if headings else F.lit(0.0))
-    flags = F.transform(lines, lambda x: looks_like_heading(x, F.col("body")) if headings else F.lit(False))
+    lines, no_heads = F.col("lines"), F.array().cast("array<struct<raw:string,canonical:string>>")
+    role = lambda x: F.when(tx.is_stray(x["text"]), "line").otherwise("bullet") if loose else F.lit("contact")
+    alone = lambda x: F.struct(F.lit(1 if loose else 0).alias("section"), F.lit(1 if loose else 0).alias("entry"), role(x).alias("role"), F.lit(False).alias("opens"))
+    if not headings:
+        plain = documents.withColumns({"body": F.lit(0.0), "lines": F.transform("lines", lambda x: x.withField("heading", F.lit(False))), "heads": no_heads})
+        return _with_contact(plain.withColumn("places", F.transform("lines", alone)))
+    sized = documents.withColumn("body", body_size(lines))
+    flags = F.transform(lines, lambda x: looks_like_heading(x, F.col("body")))
     flagged = sized.withColumn("__flags", flags)
     flagged = flagged.withColumn("lines", F.transform("lines", lambda x, k: x.withField("heading", F.get("__flags", k))))
     any_heading = F.exists("__flags", lambda x: x)
     heads = F.when(any_heading, F.transform(F.filter("lines", lambda x: x["heading"]), lambda x: F.struct(tx.stripped(x["text"]).alias("raw"), canonical_of(x["text"]).alias("canonical"))))
-    heads = F.coalesce(heads, F.array().cast("array<struct<raw:string,canonical:string>>"))
-    role = lambda x: F.when(tx.is_stray(x["text"]), "line").otherwise("bullet") if loose else F.lit("contact")
-    alone = lambda x: F.struct(F.lit(1 if loose else 0).alias("section"), F.lit(1 if loose else 0).alias("entry"), role(x).alias("role"), F.lit(False).alias("opens"))
-    out = flagged.withColumn("places", F.when(any_heading, _folded(F.col("lines"))).otherwise(F.transform("lines", alone))).withColumn("heads", heads).drop("__flags")
+    heads = F.coalesce(heads, no_heads)
+    return _with_contact(flagged.withColumn("places", F.when(any_heading, _folded(F.col("lines"))).otherwise(F.transform("lines", alone))).withColumn("heads", heads).drop("__flags"))
+
+
+def _with_contact(out: DataFrame) -> DataFrame:
+    """With the contact block (or the first characters) and the name in it."""
     contact = F.filter(F.transform("lines", lambda x, k: F.when(F.get("places", k)["role"] == "contact", x.withField("k", k))), lambda x: x.isNotNull())
     out = out.withColumn("__contact", contact)
     texts = F.transform("__contact", lambda x: x["text"])
