@@ -160,9 +160,11 @@ def _holders(docs: DataFrame, text_col: str) -> DataFrame:
                 values += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.int64())], names=["key", "value"])
 
-    held = kept(_texts(docs, text_col).mapInArrow(run, "key long, value long").groupBy("value", "key").agg(F.count("*").alias("copies")), "values")
-    live = held.groupBy("value").agg(F.sum("copies").alias("n_value"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    return kept(held.join(live, "value"), "holders")
+    every = kept(_texts(docs, text_col).mapInArrow(run, "key long, value long").groupBy("value", "key").agg(F.count("*").alias("copies")), "values")
+    live = every.groupBy("value").agg(F.sum("copies").alias("n_value"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    out = kept(every.join(live, "value"), "holders")
+    release(docs.sparkSession, every)
+    return out
 
 
 def _terms_of(docs: DataFrame, text_col: str, bits: bytes) -> DataFrame:
@@ -203,13 +205,16 @@ def _counts(docs: DataFrame, text_col: str, bits: bytes) -> DataFrame:
     return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
-    """(term, kind) of terms that disclose some protected value; None if no value has the support."""
+def disclosing(docs: DataFrame, text_col: str = "text", held: list[DataFrame] | None = None) -> DataFrame | None:
+    """(term, kind) of terms that disclose some protected value; None if no value has the support. ``held`` gets the tables that it reads."""
+    held = [] if held is None else held
     live = _holders(docs, text_col)
+    held.append(live)
     bits = _bitmap(live, F.pmod("key", F.lit(BITMAP_BITS)))
     if bits is None:
         return None
     texts = kept(_terms_of(docs, text_col, bits), "terms")
+    held.append(texts)
     bits = _bitmap(texts.select(F.explode("terms").alias("term")).distinct(), _slot("term"))
     if bits is None:
         return None
@@ -221,6 +226,7 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
 
     widest = live.agg(F.max("n_value")).first()[0]
     rare = kept(_counts(docs, text_col, bits).where(F.col("n_term").between(F.lit(SUPPORT), most(F.lit(float(widest))))), "counts")
+    held.append(rare)
     bits = _bitmap(rare, _slot("term"))
     if bits is None:
         return None
@@ -236,8 +242,8 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
                 terms += words
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string())], names=["key", "term"])
 
-    held = texts.mapInArrow(run, "key long, term string").join(rare, "term")
-    pairs = held.join(live, "key").where(F.col("n_term") <= most(F.col("n_value"))).groupBy("value", "term", "n_value", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    each = texts.mapInArrow(run, "key long, term string").join(rare, "term")
+    pairs = each.join(live, "key").where(F.col("n_term") <= most(F.col("n_value"))).groupBy("value", "term", "n_value", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     told = F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term")))
     content = F.log2(total / F.col("n_value"))
     share = pairs.withColumn("share", F.when(content > 0, told / content)).groupBy("term").agg(F.max("share").alias("share"))
@@ -251,14 +257,16 @@ def _through(docs: DataFrame, text_col: str, schema: str, finish: Callable[[pa.R
     """
     spark, names, at = docs.sparkSession, docs.columns, docs.columns.index(text_col)
     shares: list[dict[bytes, str]] = [{}]
-    terms = disclosing(docs, text_col)
+    held: list[DataFrame] = []
+    terms = disclosing(docs, text_col, held)
     if terms is not None:
         found = kept(terms, "disclosing")
+        held.append(found)
         for row in found.toLocalIterator():
             if len(shares[-1]) >= TERMS_SENT:
                 shares.append({})
             shares[-1][row.term.encode()] = row.kind
-        release(spark, found)
+    release(spark, *held)
 
     def marks(text: str | None, base: list[tuple[str, int, int]], kinds: dict[bytes, str], of: dict[str, str]) -> list[tuple[str, int, int]]:
         if not text or not kinds or kinds.keys().isdisjoint(text.encode().translate(FOLD).split()):
