@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelark.functions import lexicons as lx
@@ -50,6 +50,15 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a filter on a plain column is pushed below it, and computes it again for every mention."""
+    if len(columns) == 1:
+        ((name, column),) = columns.items()
+        return df.select("*", F.explode(F.array(column)).alias(name))
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__computed"))
+    return made.select(*df.columns, *(F.col("__computed")[k].alias(k) for k in columns))
+
+
 def any_of(words) -> str:
     """A pattern for any of the words, as they stand; those in front are tried first."""
     return "(?:" + "|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in words) + ")"
@@ -82,8 +91,13 @@ def body_text(text: Column) -> Column:
     return F.regexp_replace(text, r"^[•●▪◦‣⁃·■○∙\-–—*o>\s]+|\s+$", "")
 
 
+def is_bare(body: Column) -> Column:
+    """Whether a text without its glyph has too little in it."""
+    return F.length(F.regexp_replace(body, "[^A-Za-z0-9]", "")) < 2
+
+
 def is_stray(text: Column) -> Column:
-    return F.length(F.regexp_replace(body_text(text), "[^A-Za-z0-9]", "")) < 2
+    return is_bare(body_text(text))
 
 
 def is_bullet(text: Column) -> Column:

@@ -84,12 +84,25 @@ def overused(tokens: Column, rules: Rules) -> Column:
     return F.transform(F.when(F.size(tokens) > 0, made).otherwise(empty), lambda g: F.struct(g["label"].alias("label"), g["n"].alias("n")))
 
 
-def term_hits(low: Column, terms: list[str]) -> Column:
-    """The distinct terms that a lower-case text holds: those of letters alone between other characters than letters, those with a blank or a stroke anywhere."""
-    plain = [t for t in terms if t.isascii() and t.isalpha()]
+def _plain(terms) -> list[str]:
+    return [t for t in terms if t.isascii() and t.isalpha()]
+
+
+def plain_hits(low: Column, terms: list[str]) -> Column:
+    """The terms of letters alone that a lower-case text holds between other characters than letters."""
+    return F.array_intersect(F.split(low, "[^a-z]+"), F.array(*map(F.lit, _plain(terms))).cast("array<string>"))
+
+
+def term_hits(low: Column, terms: list[str], hits: Column | None = None) -> Column:
+    """The distinct terms that a lower-case text holds: those of letters alone between other characters than letters, those with a blank or a stroke anywhere.
+
+    ``hits``: ``plain_hits`` of these and other terms, if they are there already; most lines have none.
+    """
+    plain, none = _plain(terms), F.array().cast("array<string>")
     parts = []
     if plain:
-        parts.append(F.array_intersect(F.split(low, "[^a-z]+"), F.array(*map(F.lit, plain))))
+        own = F.array(*map(F.lit, plain))
+        parts.append(plain_hits(low, terms) if hits is None else F.when(F.size(hits) > 0, F.array_intersect(hits, own)).otherwise(none))
     inside = [F.when(low.contains(t), t) for t in terms if " " in t or "/" in t]
     between = [F.when(low.rlike(rf"(?<![a-z]){tx.any_of([t])}(?![a-z])"), t) for t in terms if t not in plain and " " not in t and "/" not in t]
     if inside or between:
@@ -100,7 +113,7 @@ def term_hits(low: Column, terms: list[str]) -> Column:
 def features(lines: DataFrame, standard: list[str], terms: dict[str, list[str]], rules: Rules, evidence: bool = False) -> DataFrame:
     """``lines`` with the features of each; ``evidence`` keeps the words that findings show."""
     skip = rules["impact.bullets.skip_sections"]
-    base = lines.withColumn("body", tx.body_text(F.col("text")))
+    base = tx.computed(lines, body=tx.body_text(F.col("text")))
     body = F.col("body")
     unit = F.col("role").isin("header", "bullet", "line")
     out = base.withColumns({
@@ -120,8 +133,8 @@ def features(lines: DataFrame, standard: list[str], terms: dict[str, list[str]],
         "odd_date": when((F.col("section") > 0) & (F.col("role") != "heading"), F.col("text").rlike(DATE_BEARING) & F.col("text").rlike(EXPECTED_LIKE) & ~F.col("text").rlike(MONTH_YEAR_OK), False),
     }
     out = out.withColumns(own)
-    out = out.withColumns({f"terms_{c}": F.when(F.col("said").isNotNull(), term_hits(F.col("said"), t)) for c, t in terms.items()})
-    return out
+    out = tx.computed(out, plain=F.when(F.col("said").isNotNull(), plain_hits(F.col("said"), [t for ts in terms.values() for t in ts])))
+    return out.withColumns({f"terms_{c}": F.when(F.col("said").isNotNull(), term_hits(F.col("said"), ts, F.col("plain"))) for c, ts in terms.items()})
 
 
 def _some(condition, value) -> Column:

@@ -38,8 +38,8 @@ def numbers(lines: DataFrame) -> DataFrame:
 def bullets(lines: DataFrame) -> DataFrame:
     """Lines as bullets, ``body`` without its glyph: lists and credentials are none."""
     body = F.col("body")
-    fit = kept_lines(lines).withColumn("body", tx.body_text(F.col("text"))).where(~tx.is_list(body) & ~tx.is_credential(body))
-    return fit.withColumn("sp", tx.spaced(body))
+    fit = tx.computed(lines, body=tx.body_text(F.col("text"))).where(~tx.is_bare(body) & ~tx.is_list(body) & ~tx.is_credential(body))
+    return tx.computed(fit, sp=tx.spaced(body))
 
 
 def specifics(lines: DataFrame) -> DataFrame:
@@ -96,7 +96,9 @@ def tools_named(lines: DataFrame) -> DataFrame:
 def flags(lines: DataFrame, standard: list[str]) -> DataFrame:
     """What to mend in a bullet, in order; bullets without a flag stay out."""
     body = F.col("body")
-    each = bullets(lines).select("doc_id", "line_no", F.size(tx.found(body, tx.LENGTH_TOKEN)).cast("int").alias("n"), tx.verb(body, standard).alias("v"), tx.is_passive(body, F.col("sp")).alias("p"), (tx.number_count(body, F.col("sp")) == 0).alias("q"), (F.size(tx.tools(body)) == 0).alias("t"), tx.avoided(body, F.col("sp")).alias("a"))
+    sp = F.col("sp")
+    made = {"n": F.size(tx.found(body, tx.LENGTH_TOKEN)).cast("int"), "v": tx.verb(body, standard), "p": tx.is_passive(body, sp), "q": tx.number_count(body, sp) == 0, "t": F.size(tx.tools(body)) == 0, "a": tx.avoided(body, sp)}
+    each = tx.computed(bullets(lines).select("doc_id", "line_no", "body", "sp"), **made)
     n, count = F.col("n"), F.col("n").cast("string")
     (low, high), (least, most) = LENGTH_IDEAL, LENGTH_HARD
     marks = F.array(

@@ -74,7 +74,8 @@ def forms(docs: DataFrame, known: DataFrame, names: DataFrame | None = None, tex
     known = known.select("word").distinct()
     cleaned = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ADDRESS, " ")
     tok = docs.select("doc_id", F.posexplode(F.regexp_extract_all(cleaned, F.lit(TOKEN), F.lit(0))).alias("pos", "w"))
-    tok = tok.select("doc_id", "pos", "w", F.regexp_replace(F.lower("w"), r"^[-']+|[-']+$", "").alias("word")).where((F.length("word") >= SHORTEST) & ~F.col("word").contains("_"))
+    # a token begins and ends with a letter, so nothing is left to strip
+    tok = tok.select("doc_id", "pos", "w", F.lower("w").alias("word")).where((F.length("word") >= SHORTEST) & ~F.col("word").contains("_"))
     fine = [*lx.MONTHS, *lx.MONTHS_SHORT, *lx.NEVER_UNKNOWN, *(lx.COMMONWEALTH if commonwealth else ())]
     always = F.col("word").isin(*lx.ALWAYS_UNKNOWN)
     listed = sent(known.where(~F.col("word").isin(*lx.ALWAYS_UNKNOWN)))

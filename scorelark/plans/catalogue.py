@@ -14,7 +14,7 @@ from scorelark.functions import lexicons as lx
 from scorelark.functions import text as tx
 from scorelark.operators import competencies, facts, impact, layout, scoring, spelling, structure
 from scorelark.rules import Rules
-from scorelark.sources.tables import FIXTURE, LINES_SQL, table, with_fixture
+from scorelark.sources.tables import FIXTURE, LINES_SQL, spread, table, with_fixture
 
 #: Everyday verbs, a parameter of the operators; these few stand in for it here.
 STANDARD = ["analyze", "author", "build", "lead", "manage", "plan", "study", "teach", "test", "write"]
@@ -27,7 +27,7 @@ RULES = Rules()
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_fixture(table(spark, sf_dir, "documents"))
+    return with_fixture(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {}
@@ -271,7 +271,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made: dict[int, list[str]] = {}
     for d, _, t in FIXTURE:
         made.setdefault(d, []).append(t)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(d, "\n".join(ts)) for d, ts in made.items()], "doc_id long, text string"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(spark.createDataFrame([(d, "\n".join(ts)) for d, ts in made.items()], "doc_id long, text string"))
 
 
 def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:

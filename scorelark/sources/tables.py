@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a table is dealt anew before costly work on its texts.
+SMALL = 64 << 20
+
+
+def spread(docs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """A small table dealt over all cores, as its one row group is read by one task; a large table has splits enough and isn't moved."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, by) if size <= SMALL else docs
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line_no`` from 0, ``text``: a row a line. Documents without a text have none."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
